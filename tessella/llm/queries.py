@@ -68,7 +68,7 @@ ORACLE_SQL = {
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 n AS (
-  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS s FROM v
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS s FROM v
   WHERE label IS NOT NULL AND e IS NOT NULL),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id < b.vec_id
@@ -112,7 +112,7 @@ m AS (
   SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
          length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines,
          coalesce(rep.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS lines,
-         len(list_filter(ws, x -> x IN ({_STOPS}))) AS stops
+         len(list_filter(ws, lambda x: x IN ({_STOPS}))) AS stops
   FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id),
 r AS (
   SELECT *, CASE WHEN n_words = 0 THEN 0.0 ELSE CAST(word_chars AS DOUBLE) / n_words END AS a,
