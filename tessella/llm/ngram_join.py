@@ -11,11 +11,13 @@ long paths), partial overlaps are shared along common paths, and a path ends
 as soon as the remaining length cannot reach the bound.
 
 Only connectivity is asked for, so a group needs no all-pairs step. Jaccard
-distance is a metric: if no member has a distance from the leader between the
-threshold and twice the threshold, nothing outside links to what the leader
-linked. Those members leave; the rest go on with twice the leaders, until no
-group is left. This ends for every input and loses no link that would change
-a component.
+distance is a metric: whatever links to a member within twice the threshold's
+distance of the leader is within three times of it. These members form the
+leader's block. In it each set is only its difference from the leader, which
+is short, and an index over the differences gives the exact overlaps of those
+that the leader did not link. Then all within twice the distance leave the
+leader's groups; the rest go on with twice the leaders, until no group is left. This
+ends for every input and loses no link that would change a component.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from tessella.llm.textkernel import SPACE_WORD, split_words, window_hashes, word
 _SET = "doc_id long, n_shingles long, h1 long, h2 long, n_unique int, tokens array<long>, body binary"
 #: Set members are kept as their first so many bytes; sizes and classes use all eight.
 _WIDTH = 6
+#: Members of a block that one task holds; larger blocks are dealt out as pairs of chunks.
+BLOCK_ROWS = 4096
 
 
 def shingle_sets(texts, n: int = 4):
@@ -159,6 +163,10 @@ def trie_overlaps(query: bytes, members: list[bytes], percent: int) -> list[int]
     return out
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - _WIDTH :].tobytes()
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -169,16 +177,69 @@ def _verify(percent: int):
                 j = i
                 while j < len(lead) and lead[j] == lead[i]:
                     j += 1
+                base = np.sort(_unpacked(queries[i]))
                 for k, o in enumerate(trie_overlaps(queries[i], sets[i:j], percent)):
                     if o >= 0:
-                        both = (len(queries[i]) + len(sets[i + k])) // _WIDTH - o
-                        found.append((lead[i], member[i + k], o, both))
+                        size = len(sets[i + k]) // _WIDTH
+                        found.append((lead[i], member[i + k], o, len(base) + size - o, size, _packed(np.setxor1d(base, _unpacked(sets[i + k])))))
                 i = j
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(4)], names=["leader", "rep", "overlap", "together"])
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], k) for c, k in enumerate(kinds)], names=["leader", "rep", "overlap", "together", "size", "delta"])
+
+    return run
+
+
+def _block_links(percent: int):
+    """Links of a block's members that the leader did not link, up to those that join nothing new."""
+
+    def run(key, table):
+        table = table.sort_by([("rep", "ascending")])
+        rep, part = table.column("rep").to_numpy(), table.column("part").to_numpy()
+        size = table.column("size").to_numpy()
+        linked = np.array(table.column("linked").to_pylist(), dtype=bool)
+        deltas = [_unpacked(d) for d in table.column("delta").to_pylist()]
+        count = np.array([len(d) for d in deltas])
+        flat, owner = np.concatenate(deltas), np.repeat(np.arange(len(rep)), count)
+        order = np.argsort(flat, kind="stable")
+        flat, posting = flat[order], owner[order]
+        start, _ = runs(flat)
+        stop = np.r_[start[1:], len(flat)]
+        tokens = flat[start]
+        # what the leader linked is one component already
+        root = np.where(linked, -1, np.arange(len(rep)))
+        cross = key[1].as_py() != key[2].as_py()
+        edges = []
+        for y in np.flatnonzero(~linked):
+            at = np.searchsorted(tokens, deltas[y])
+            at = at[stop[at] - start[at] > 1]
+            shared = np.zeros(len(rep), dtype=np.int64)
+            for i in at:
+                shared[posting[start[i] : stop[i]]] += 1
+            apart = count + count[y] - 2 * shared
+            good = 200 * ((size + size[y] - apart) // 2) >= 2 * percent * ((size + size[y] + apart) // 2)
+            good[y] = False
+            if cross:
+                good &= part != part[y]
+            for x in np.flatnonzero(good & (root != root[y])):
+                if root[x] != root[y]:
+                    edges.append((int(rep[x]), int(rep[y])))
+                    root[root == max(root[x], root[y])] = min(root[x], root[y])
+        return pa.table([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _blocks(found: DataFrame, percent: int) -> DataFrame:
+    """Links within the blocks of all leaders that left some of their block unlinked."""
+    rows = found.withColumn("linked", F.expr(f"100 * overlap >= {percent} * together"))
+    open_ = rows.groupBy("leader").agg(F.count("*").alias("c"), F.max(~F.col("linked")).alias("open")).where("open and c > 1")
+    rows = rows.join(open_.select("leader", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("chunks")), "leader")
+    part = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("leader", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "size", "linked", "delta")
+    return rows.groupBy("leader", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+
+
 def _classes(sets: DataFrame) -> DataFrame:
     return sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
 
@@ -186,7 +247,7 @@ def _classes(sets: DataFrame) -> DataFrame:
 def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) between class representatives: enough links that components are those of all links."""
     spark = sets.sparkSession
-    loose = max(0, 2 * percent - 100)  # no closer than twice the threshold's distance
+    loose, settled_at = max(0, 3 * percent - 200), max(0, 2 * percent - 100)  # three times and twice the threshold's distance
     held = sets.where("size(tokens) > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     held = stored(held.dropDuplicates(["doc_id"]), "sets")
     live = held.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("rep"), "n_shingles", "n_unique")
@@ -204,11 +265,11 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         near = live.join(leaders, "token").where(f"rep <> leader and 100 * least(n_shingles, leader_n) >= {loose} * greatest(n_shingles, leader_n)")
         tests = stored(near.select("token", "leader", "rep"), "tests")
         pairs = tests.select("leader", "rep").distinct().join(bodies, "rep").join(bodies.select(F.col("rep").alias("leader"), F.col("body").alias("leader_body")), "leader")
-        found = stored(pairs.sortWithinPartitions("leader").mapInArrow(_verify(loose), "leader long, rep long, overlap long, together long"), "found")
+        found = stored(pairs.sortWithinPartitions("leader").mapInArrow(_verify(loose), "leader long, rep long, overlap long, together long, size long, delta binary"), "found")
         linked = F.expr(f"100 * overlap >= {percent} * together")
         links.append(found.where(linked).select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-        unsafe = found.where(~linked).select("leader").distinct()
-        settled = found.where(linked).join(unsafe, "leader", "left_anti").select("leader", "rep")
+        links.append(stored(_blocks(found, percent), "blocks"))
+        settled = found.where(f"100 * overlap >= {settled_at} * together").select("leader", "rep")
         gone = tests.join(settled, ["leader", "rep"], "left_semi").select("token", "rep").unionByName(leaders.select("token", F.col("leader").alias("rep")))
         rest = groups(live.join(gone.distinct(), ["token", "rep"], "left_anti"), "live")
         for t in (live, leaders, tests):
