@@ -6,11 +6,14 @@ both encodings have inside their overlap and that is stable: a character that
 is not white space followed by white space. The byte-level splitting pattern
 never joins these two and looks only ahead, so the tokens on each side of such
 a place do not depend on the other side. If an overlap has no such boundary it
-is doubled, up to the whole rest of the text.
+is doubled, up to the whole rest of the text. Shorter documents are cut at
+every such place, and the counts of the pieces are remembered.
 """
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -19,7 +22,12 @@ from pyspark.sql import functions as F
 from tessella.llm.exchange import small_batches
 
 CHUNK, OVERLAP = 1 << 15, 256
+#: Pieces whose counts a worker remembers; the table is emptied when full.
+REMEMBERED = 1 << 19
+_PIECE = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+_OTHER_SPACE = re.compile(r"[^\S \n\t\r]")
 _loaded: dict[str, object] = {}
+_counts: dict[str, dict[str, int]] = {}
 
 
 def tokenizer(path: str):
@@ -78,16 +86,21 @@ def _encoder(path: str):
 def _count(path: str, chunk: int, overlap: int, limit: int):
     def run(batches):
         t, encode = tokenizer(path), _encoder(path)
-        whole = getattr(t, "encode_batch_fast", t.encode_batch)
+        whole, known = getattr(t, "encode_batch_fast", t.encode_batch), _counts.setdefault(path, {})
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             n_bytes = pc.binary_length(pc.fill_null(batch.column("text"), "").cast(pa.large_string()))
-            short = [i for i, x in enumerate(texts) if len(x) <= chunk]
             counts = [0] * len(texts)
-            for a in range(0, len(short), 64):
-                part = short[a : a + 64]
-                for i, e in zip(part, whole([texts[i] for i in part], add_special_tokens=False)):
-                    counts[i] = len(e)
+            if len(known) > REMEMBERED:
+                known.clear()
+            # other white space may join a run across a cut, so such texts are one piece
+            pieces = [None if len(x) > chunk else _PIECE.findall(x) if not _OTHER_SPACE.search(x) else [x] for x in texts]
+            new = list(set().union(*(p for p in pieces if p)) - known.keys())
+            for a in range(0, len(new), 4096):
+                part = new[a : a + 4096]
+                known.update(zip(part, map(len, whole(part, add_special_tokens=False))))
+            for i, p in enumerate(pieces):
+                counts[i] = sum(map(known.__getitem__, p)) if p else 0
             for i, x in enumerate(texts):
                 if len(x) > chunk:
                     counts[i] = len(spliced_ids(encode, x, chunk, overlap))
