@@ -48,7 +48,9 @@ class PieceModel:
                 self.piece[i] = p.replace(SPACE, " ").encode()
         self.longest = max(map(len, self.ident))
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ident)
-        self.agree: dict[tuple[str, str], bool] = {}
+        self.heads = {p[:k] for p in self.ident for k in range(1, len(p))}
+        self.agree: dict[str, dict[str, bool]] = {}
+        self.traces: dict[tuple[str, bool], list[tuple[float, str]]] = {}
         self.known: dict[str, tuple[bytes, bool]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -60,15 +62,69 @@ class PieceModel:
                 return parts
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
-    def neighbours(self, a: str, b: str) -> bool:
-        """Whether a and b are the encoding of a + b."""
-        got = self.agree.get((a, b))
+    def _trace(self, token: str, left: bool) -> list[tuple[float, str]]:
+        """Merges that make a token by itself: rank of each, and the part at its inner edge before it; the end has no rank."""
+        got = self.traces.get((token, left))
         if got is None:
-            if len(self.agree) > 1 << 20:
-                self.agree.clear()
-            got = self.agree[a, b] = self.merged(a + b) == [a, b]
+            parts, got = list(token), []
+            while True:
+                edge = parts[-1] if left else parts[0]
+                best = min(((self.rank[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in self.rank), default=None)
+                if best is None:
+                    got.append((float("inf"), edge))
+                    break
+                got.append((best[0], edge))
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            self.traces[token, left] = got
         return got
 
+    def neighbours(self, a: str, b: str) -> bool:
+        """Whether a and b are the encoding of a + b: no merge over their border is ever the best one."""
+        left, right, i, j = self._trace(a, True), self._trace(b, False), 0, 0
+        while True:
+            x, y = left[i][0], right[j][0]
+            across = self.rank.get(left[i][1] + right[j][1])
+            if across is not None and across < x and across <= y:
+                return False
+            if x == y == float("inf"):
+                return True
+            if x <= y:
+                i += 1
+            else:
+                j += 1
+
+    def _agree(self, a: str) -> dict[str, bool]:
+        if len(self.agree) > 1 << 15:
+            self.agree.clear()
+        return self.agree.setdefault(a, {})
+
+    def best_path(self, s: str) -> list[str]:
+        """Tokens of a short text: from every place, each piece that agrees with the last token there sets the last token at its end."""
+        n, last = len(s), [""] * (len(s) + 1)
+        ident, heads, agree = self.ident, self.heads, self.agree
+        for j in range(n):
+            before = last[j]
+            row = (agree.get(before) or self._agree(before)) if j else None
+            for k in range(j + 1, n + 1):
+                token = s[j:k]
+                if token in ident or k == j + 1:
+                    if row is not None:
+                        ok = row.get(token)
+                        if ok is None:
+                            ok = row[token] = self.neighbours(before, token)
+                        if not ok:
+                            if token not in heads:
+                                break
+                            continue
+                    last[k] = token
+                if token not in heads:
+                    break
+        out = []
+        while n:
+            out.append(last[n])
+            n -= len(last[n])
+        return out[::-1]
+
     def _ids(self, token: str) -> list[int]:
         i = self.ident.get(token)
         return [i] if i is not None else [self.byte[b] for b in token.encode("utf-8", "surrogatepass")]
@@ -122,7 +178,7 @@ class PieceModel:
         if got is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            ids = list(self.stream([s]))
+            ids = [i for t in self.best_path(s) for i in self._ids(t)] if len(s) <= 64 else list(self.stream([s]))
             got = np.array(ids, dtype="<i4").tobytes(), b"".join([self.piece[i] for i in ids]) == s.replace(SPACE, " ").encode("utf-8", "surrogatepass")
             if len(s) <= 64:
                 self.known[s] = got
