@@ -24,7 +24,7 @@ from tessella.llm.exchange import small_batches
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Segments kept by each worker; the table is emptied when full.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
 _loaded: dict[str, "PieceModel"] = {}
 
 
