@@ -16,7 +16,20 @@ ORACLE_SQL: dict = {}
 def _add(name: str, run, sql: str | None = None) -> None:
     QUERIES[name] = run
     if sql:
-        ORACLE_SQL[name] = sql
+        ORACLE_SQL[name] = _no_negative_zero(sql)
+
+
+def _no_negative_zero(sql: str) -> str:
+    """round(...) + 0.0 for every round: Spark's has no negative zero."""
+    out, i = [], 0
+    while (j := sql.find("round(", i)) >= 0:
+        depth, k = 1, j + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(f"{sql[i:j]}(round({_no_negative_zero(sql[j + 6 : k - 1])}) + 0.0)")
+        i = k
+    return "".join(out) + sql[i:]
 
 
 # -- common table expressions of the SQL side ---------------------------------------------------
