@@ -125,11 +125,21 @@ def fit(texts: pa.ChunkedArray | pa.Array, labels: np.ndarray, step: int = 256)
     if swaps:
         penalty += COUNTERFACTUAL * np.array(swaps).T @ np.array(swaps)
     w = np.r_[np.zeros(len(used)), start]
-    for _ in range(25):
+
+    def loss(v):
+        t = x @ v
+        return float((np.logaddexp(0, t) - y * t).sum() + 0.5 * v @ penalty @ v)
+
+    now = loss(w)
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:  # a full step may overshoot where classes separate
+            size /= 2
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-6 * (1 + abs(now)):
             break
     return used, w[:-1], float(w[-1])
 
