@@ -35,7 +35,7 @@ IDENTITY_TERMS = [
 TRAIN_ROWS, FEATURES = 12288, 512
 #: Bytes of the stems, and cells of the counts that choose candidates for features.
 STEMS, CELLS = (3, 4, 5, 6, 7, 8), 1 << 22
-#: Least |z| of a word's log odds, least labelled texts with it, ridge, weight of the counterfactual penalty.
+#: Least root of a word's likelihood ratio statistic, least labelled texts with it, ridge, weight of the counterfactual penalty.
 LEAST_Z, LEAST_DOCS, RIDGE, COUNTERFACTUAL = 4.0, 5, 1.0, 10.0
 THRESHOLD = 0.3
 
@@ -60,11 +60,18 @@ def features(texts, keep: np.ndarray | None = None) -> list[np.ndarray]:
 
 
 def _evidence(pos: np.ndarray, neg: np.ndarray, hits: float, total: float) -> np.ndarray:
-    """z of the log odds ratio; 0 for what too few texts have."""
-    miss = total - hits
-    odds = np.log((pos + 0.5) / (np.maximum(hits - pos, 0) + 0.5)) - np.log((neg + 0.5) / (np.maximum(miss - neg, 0) + 0.5))
-    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5) + 1 / (np.maximum(hits - pos, 0) + 0.5) + 1 / (np.maximum(miss - neg, 0) + 0.5))
-    return np.where(pos + neg < LEAST_DOCS, 0, z)
+    """Root of the likelihood ratio statistic of a text's label and its having a word; 0 for what too few texts have.
+
+    Unlike a ratio of log odds to their error it grows for words that only one
+    label has, so marks of a rare language are not crowded out by common words.
+    """
+    pos, neg = pos.astype(float), neg.astype(float)
+    table = ((pos, hits, pos + neg), (neg, total - hits, pos + neg), (hits - pos, hits, total - pos - neg), (total - hits - neg, total - hits, total - pos - neg))
+    g = np.zeros(len(pos))
+    for seen, of_label, of_word in table:
+        seen = np.maximum(seen, 0)
+        g += seen * np.log(np.maximum(seen, 0.5) * total / np.maximum(of_label * of_word, 0.5))
+    return np.where(pos + neg < LEAST_DOCS, 0, np.sqrt(np.maximum(2 * g, 0)))
 
 
 def fit(texts: pa.ChunkedArray | pa.Array, labels: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray, float]:
@@ -85,7 +92,7 @@ def fit(texts: pa.ChunkedArray | pa.Array, labels: np.ndarray, step: int = 256)
                 fresh[i] = True
                 np.add.at(cells[int(y[i])], np.unique(s & np.uint64(CELLS - 1)).astype(np.int64), 1)
     total, hits = float(fresh.sum()), float(y[fresh].sum())
-    z = np.abs(_evidence(cells[1], cells[0], hits, total))
+    z = _evidence(cells[1], cells[0], hits, total)
     top = np.argpartition(-z, 8 * FEATURES)[: 8 * FEATURES]
     keep = np.zeros(CELLS, dtype=bool)
     keep[top[z[top] >= LEAST_Z]] = True
@@ -97,7 +104,7 @@ def fit(texts: pa.ChunkedArray | pa.Array, labels: np.ndarray, step: int = 256)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     words, at = np.unique(flat, return_inverse=True)
     pos = np.bincount(at, weights=y[row], minlength=len(words))
-    z = np.abs(_evidence(pos, np.bincount(at, minlength=len(words)) - pos, hits, total))
+    z = _evidence(pos, np.bincount(at, minlength=len(words)) - pos, hits, total)
     best = np.argsort(-z, kind="stable")[:FEATURES]
     best = best[z[best] >= LEAST_Z]
     lists = [_hash_of(x) for x in IDENTITY_TERMS]
