@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import expr as X
 from tessella.functions import text as T
-from tessella.operators import audit, cells, contrasts, inference, market, render, selection
+from tessella.operators import audit, cells, contrasts, inference, manifests, market, packets, render, selection
 from tessella.sources import adapters as A
 
 QUERIES: dict = {}
@@ -344,3 +344,94 @@ b AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS c, min(CAST(old_index =
 _add("evidence_bank", lambda s, d: render.evidence_bank(_docs(s, d)).groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_documents"), F.max("pos").alias("last_position")))
 _add("html_text", lambda s, d: A.table(s, d, "pages").select("page_id", F.length(T.html_to_text(F.coalesce("html", F.lit("")))).alias("n_chars"), T.looks_like_heading(F.col("url")).alias("heading")))
 _add("paragraphs", lambda s, d: _docs(s, d).select("doc_id", F.size(T.packed_paragraphs(F.col("text"))).alias("n_paragraphs"), F.size(T.sentences(F.col("text"))).alias("n_sentences"), X.first_sentence(F.col("text")).alias("first_sentence"), F.size(T.protected_tokens(F.col("text"))).alias("n_protected")))
+
+# -- packets and edit manifests ----------------------------------------------------------------------
+
+_NAMES = ["first", "second", "third", "fourth"]
+
+
+def _period_text():
+    """A results headline for each order, in one of five forms."""
+    k, year = F.col("o_orderkey"), (2000 + F.col("o_orderkey") % 100).cast("string")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (k % 4 + 1).cast("int"))
+    month = F.element_at(F.array(*map(F.lit, ["March", "June", "Sep", "December"])), (k % 4 + 1).cast("int"))
+    forms = [F.concat(F.lit("Results of the "), F.initcap(name), F.lit(" quarter of "), year), F.concat(F.lit("In "), year, F.lit(" Q"), (k % 4 + 1).cast("string"), F.lit(" quarter")), F.concat(F.lit("Three months ended "), month, F.lit(" 30, "), year), F.concat(F.lit("the full year "), year), F.lit("quarter ended May 31, 2020")]
+    return F.element_at(F.array(*forms), (F.floor(k / 4) % 5 + 1).cast("int"))
+
+
+_add("fiscal_period", lambda s, d: A.table(s, d, "orders").select("o_orderkey", packets.fiscal_period(_period_text()).alias("fiscal_period")), "SELECT o_orderkey, CASE WHEN (o_orderkey // 4) % 5 < 3 THEN 'FY' || (2000 + o_orderkey % 100) || ' Q' || (o_orderkey % 4 + 1) WHEN (o_orderkey // 4) % 5 = 3 THEN 'FY' || (2000 + o_orderkey % 100) END AS fiscal_period FROM orders")
+
+
+def _facts(s, d):
+    """Line items as filed facts of their order, with a cut-off sixty days after it."""
+    o = A.table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_add(F.to_date("o_orderdate"), 60).alias("cutoff"), F.concat(F.lit("FY"), F.year("o_orderdate").cast("string"), F.lit(" Q"), F.quarter("o_orderdate").cast("string")).alias("target"))
+    day = F.to_date("l_shipdate")
+    f = A.table(s, d, "lineitem").select("l_orderkey", day.alias("filed"), F.last_day(F.date_sub(day, 30)).alias("end"), F.year(day).alias("fy"), F.when(F.col("l_suppkey") % 3 == 0, "FY").otherwise(F.concat(F.lit("Q"), F.quarter(day).cast("string"))).alias("fp"), (F.col("l_linenumber").cast("bigint") * 1000000 + F.col("l_partkey")).alias("ordinal"))
+    return f.join(o, "l_orderkey")
+
+
+_FCT = """f AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS filed, last_day(CAST(l_shipdate AS DATE) - 30) AS ended, year(l_shipdate) AS fy, CASE WHEN l_suppkey % 3 = 0 THEN 'FY' ELSE 'Q' || quarter(l_shipdate) END AS fp, CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS ordinal,
+  CAST(o_orderdate AS DATE) + 60 AS cutoff, year(o_orderdate) AS y, 'Q' || quarter(o_orderdate) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_shipdate AS DATE) <= CAST(o_orderdate AS DATE) + 60)"""
+_add("chosen_facts", lambda s, d: packets.chosen_facts(_facts(s, d), ["l_orderkey"], "cutoff", "target").select("l_orderkey", "filed", "fp", "ordinal"), f"WITH {_FCT} SELECT l_orderkey, filed, fp, ordinal FROM f WHERE fy = y AND fp = q QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY filed DESC, ended DESC, CAST(fp LIKE 'Q%' AS INT) DESC, ordinal DESC) = 1")
+_add("period_of_facts", lambda s, d: packets.period_of_facts(_facts(s, d), ["l_orderkey"], "cutoff"), f"WITH {_FCT} SELECT l_orderkey, 'FY' || fy || CASE WHEN fp LIKE 'Q%' THEN ' ' || fp ELSE '' END AS fiscal_period FROM f QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY filed DESC, ended DESC, ordinal) = 1")
+
+
+def _citations(s, d):
+    n = F.col("event_id")
+    say = F.concat(F.lit("a S"), (n % 7).cast("string"), F.lit(", b X"), F.lpad((n % 3).cast("string"), 3, "0"), F.lit(" c S"), (n % 5).cast("string"), F.lit(" d"))
+    r = packets.repaired_citations(F.col("say"), F.array(*[F.lit(f"S00{i}") for i in range(1, 7)], F.lit("X000"), F.lit("X002")))
+    return A.table(s, d, "events").select("event_id", say.alias("say")).select("event_id", r.alias("r")).select("event_id", F.col("r.text").alias("repaired"), F.size("r.repairs").alias("n_repairs"), F.array_join("r.unresolved", ",").alias("unresolved"), F.array_join("r.ignored", ",").alias("ignored"))
+
+
+_add("citation_repair", _citations, """SELECT event_id, 'a ' || CASE WHEN event_id % 7 = 0 THEN 'S0' ELSE 'S00' || (event_id % 7) END || ', b ' || CASE event_id % 3 WHEN 1 THEN 'S001' ELSE 'X00' || (event_id % 3) END || ' c S' || (event_id % 5) || ' d' AS repaired,
+CAST(event_id % 7 > 0 AS INT) + CAST(event_id % 3 = 1 AS INT) AS n_repairs, CASE WHEN event_id % 7 = 0 THEN 'S0' ELSE '' END AS unresolved, 'S' || (event_id % 5) AS ignored FROM events""")
+
+
+def _company():
+    return F.concat(F.replace("c_name", F.lit("#"), F.lit(" ")), F.lit(" Corp"))
+
+
+def _packets(s, d):
+    """A packet for each customer: its name, filing number and day in a sentence."""
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.col("c_custkey").cast("int"))
+    say = F.concat(F.lit("For "), F.replace("c_name", F.lit("#"), F.lit("-")), F.lit(" CORP (NYSE: CU9)  Jane Doe, CFO met on "), F.date_format(day, "MMMM d, yyyy"), F.lit(" about 0000-11-22; see 00001122."))
+    return A.table(s, d, "customer").select("c_custkey", packets.masked_text(say, _company(), F.lit("CU9"), F.array(day), F.lit("0000-11-22"), F.lit("Company A")).alias("text"), F.col("c_mktsegment").alias("sector"))
+
+
+_add("masked_packets", _packets, "SELECT c_custkey, c_mktsegment AS sector, 'For Company A (NYSE: Company A) CFO met on masked_timestamp about masked_accession; see masked_accession.' AS text FROM customer")
+
+
+def _visible(s, d):
+    m = A.table(s, d, "customer").where("c_custkey % 3 > 0").select("c_custkey", _company().alias("company"), F.lit("CU9").alias("ticker"), F.lit("Company A").alias("masked_company"), F.when(F.col("c_custkey") % 3 == 1, "noon").otherwise(" ").alias("accepted_at_et"), F.when(F.col("c_custkey") % 2 == 0, "CHANGED").alias("sector"))
+    return packets.entity_visible(_packets(s, d), m, "c_custkey", ["sector"])
+
+
+_add("entity_visible", _visible, """SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS sector, CASE c_custkey % 3 WHEN 0 THEN 'For Company A (NYSE: Company A)' ELSE 'For ' || replace(c_name, '#', ' ') || ' Corp (NYSE:CU9)' END || ' CFO met on ' || CASE c_custkey % 3 WHEN 1 THEN 'noon' ELSE 'masked_timestamp' END || ' about masked_accession; see masked_accession.' AS text FROM customer""")
+_add("leaf_blocks", lambda s, d: A.table(s, d, "pages").select("page_id", F.inline(packets.leaf_blocks("html"))).groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.count_distinct("heading").alias("n_headings"), F.sum(F.length("text")).alias("n_chars")))
+
+
+def _edits(s, d):
+    """Turns of conversations as evidence units, and a manifest of them; some lines do not fit."""
+    n = F.col("conv_id") + F.col("turn")
+    u = A.table(s, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("event_id"), F.col("turn").cast("string").alias("evidence_id"), F.col("role").alias("category"), F.lit("v").alias("value"), F.array(F.lit("S001")).alias("source_ids"), F.lit("direct").alias("support_label"), F.concat(F.lit("turn "), F.col("turn").cast("string"), F.lit(" of "), "role").alias("claim"), n.alias("n"))
+    said = F.when(F.col("n") % 5 == 1, F.concat(F.lit("calm "), "claim")).when(F.col("n") % 5 == 2, F.concat("claim", F.lit(" 77"))).otherwise(F.col("claim"))
+    m = u.where("n % 5 < 4").select("event_id", "evidence_id", F.when(F.col("n") % 10 == 3, "other").otherwise(F.col("category")).alias("category"), "value", "source_ids", "support_label", F.col("claim").alias("original_claim"), (F.col("n") % 5 > 0).alias("approved"), said.alias("proposed_t5_claim"))
+    return u, m
+
+
+_add("manifest_apply", lambda s, d: manifests.applied(*_edits(s, d)).select("event_id", "evidence_id", "claim", "changed", "error"), """WITH u AS (SELECT 'c' || conv_id AS event_id, CAST(turn AS VARCHAR) AS evidence_id, 'turn ' || turn || ' of ' || role AS c, conv_id + turn AS n FROM conversations)
+SELECT event_id, evidence_id, CASE WHEN n % 5 = 1 THEN 'calm ' || c ELSE c END AS claim, n % 5 = 1 AS changed, CASE WHEN n % 5 = 4 THEN 'missing manifest key' WHEN n % 10 = 3 THEN 'category does not match' WHEN n % 5 = 2 THEN 'alters protected tokens' END AS error FROM u""")
+
+
+def _adjudicated(s, d):
+    m = _edits(s, d)[1]
+    no = F.col("event_id").endswith("1")
+    rulings = m.where("category = 'user'").select("event_id", "evidence_id", F.when(~no, F.lit("plain")).alias("claim"), F.array(F.struct(F.lit("of").alias("text"), F.array(F.lit("b"), F.lit("a")).alias("categories"))).alias("spans"), F.when(no, "kept").alias("reason"))
+    return manifests.adjudicated(m, rulings).select("event_id", "evidence_id", "approved", "review_status", "proposed_t5_claim", F.col("candidate_frame_spans")[0]["start_char"].alias("span_start"), F.array_join("candidate_frame_categories", ",").alias("span_categories"), "adjudication_reason")
+
+
+_add("manifest_adjudication", _adjudicated, f"""WITH u AS (SELECT 'c' || conv_id AS event_id, CAST(turn AS VARCHAR) AS evidence_id, 'turn ' || turn || ' of ' || role AS c, conv_id + turn AS n, role FROM conversations),
+m AS (SELECT *, role = 'user' AND n % 10 <> 3 AS k, NOT ends_with(event_id, '1') AS y FROM u WHERE n % 5 < 4)
+SELECT event_id, evidence_id, CASE WHEN k THEN y ELSE n % 5 > 0 END AS approved, CASE WHEN k AND y THEN 'approved' WHEN k THEN 'rejected' END AS review_status, CASE WHEN k AND y THEN 'plain' WHEN k THEN c WHEN n % 5 = 1 THEN 'calm ' || c WHEN n % 5 = 2 THEN c || ' 77' ELSE c END AS proposed_t5_claim,
+CAST(CASE WHEN k AND y THEN strpos(c, 'of') - 1 END AS INT) AS span_start, CASE WHEN k AND y THEN 'a,b' END AS span_categories, CASE WHEN k AND y THEN '{manifests.APPROVAL}' WHEN k THEN 'kept' END AS adjudication_reason FROM m""")
+_add("python_literal_repair", lambda s, d: A.table(s, d, "labels").select("doc_id", F.from_json(manifests.strict_json(F.concat(F.lit('{"toxic": '), F.when(F.col("toxic") == 1, "True").otherwise("False"), F.lit("}"))), "toxic boolean")["toxic"].alias("is_toxic")), "SELECT doc_id, toxic = 1 AS is_toxic FROM labels")
