@@ -6,7 +6,8 @@ sequence is the encoding exactly if each two neighbours are, so every prefix
 has one last token, found from the last tokens of shorter prefixes. The pass
 keeps backpointers in a window of the longest piece and commits ids whenever
 all surviving paths meet in one boundary; where no piece can cross (text, then
-the space mark) they always do, and such segments are remembered.
+the space mark, or two characters that stand side by side in no piece) they
+always do, and the segments between such boundaries are remembered.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from tessella.llm.exchange import small_batches
 
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Segments kept by each worker; the table is emptied when full.
+#: Segments, and words, kept by each worker; a table is emptied when full.
 REMEMBERED = 1 << 20
 _loaded: dict[str, "PieceModel"] = {}
 
@@ -48,10 +49,14 @@ class PieceModel:
                 self.piece[i] = p.replace(SPACE, " ").encode()
         self.longest = max(map(len, self.ident))
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ident)
-        self.heads = {p[:k] for p in self.ident for k in range(1, len(p))}
+        self.pairs = {p[k : k + 2] for p in self.ident for k in range(len(p) - 1)}
         self.agree: dict[str, dict[str, bool]] = {}
+        self.agreed = 0
         self.traces: dict[tuple[str, bool], list[tuple[float, str]]] = {}
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        #: parts and words whose ids do not decode to them: none where every byte has a piece
+        self.odd: set[str] = set()
 
     def merged(self, text: str) -> list[str]:
         """Plain merging of a short text: the best pair first, the leftmost of equals."""
@@ -93,32 +98,32 @@ class PieceModel:
             else:
                 j += 1
 
-    def _agree(self, a: str) -> dict[str, bool]:
-        if len(self.agree) > 1 << 15:
+    def _agree(self, before: str, token: str) -> bool:
+        """neighbours(), remembered by the right token; a text's first token has no neighbour."""
+        if self.agreed >= REMEMBERED:
             self.agree.clear()
-        return self.agree.setdefault(a, {})
+            self.agreed = 0
+        self.agreed += 1
+        ok = self.agree.setdefault(token, {})[before] = not before or self.neighbours(before, token)
+        return ok
 
     def best_path(self, s: str) -> list[str]:
-        """Tokens of a short text: from every place, each piece that agrees with the last token there sets the last token at its end."""
+        """Tokens of a short text. A prefix has one last token: the only piece at its end that agrees with the last token before it."""
         n, last = len(s), [""] * (len(s) + 1)
-        ident, heads, agree = self.ident, self.heads, self.agree
-        for j in range(n):
-            before = last[j]
-            row = (agree.get(before) or self._agree(before)) if j else None
-            for k in range(j + 1, n + 1):
-                token = s[j:k]
-                if token in ident or k == j + 1:
-                    if row is not None:
-                        ok = row.get(token)
-                        if ok is None:
-                            ok = row[token] = self.neighbours(before, token)
-                        if not ok:
-                            if token not in heads:
-                                break
-                            continue
-                    last[k] = token
-                if token not in heads:
-                    break
+        ident, rows, none = self.ident, self.agree.get, {}
+        for i in range(1, n + 1):
+            k = i - 1
+            while True:
+                token = s[k:i]
+                if token in ident or k == i - 1:
+                    before = last[k]
+                    ok = rows(token, none).get(before)
+                    if ok is None:
+                        ok = self._agree(before, token)
+                    if ok:
+                        last[i] = token
+                        break
+                k -= 1
         out = []
         while n:
             out.append(last[n])
@@ -172,33 +177,53 @@ class PieceModel:
             i -= len(last[i])
         return cut, [x for t in reversed(tokens) for x in self._ids(t)]
 
-    def segment(self, s: str) -> tuple[bytes, bool]:
-        """Ids of a segment as little-endian int32, and whether decoding them gives it back."""
+    def _part(self, s: str) -> bytes:
         got = self.known.get(s)
         if got is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             ids = [i for t in self.best_path(s) for i in self._ids(t)] if len(s) <= 64 else list(self.stream([s]))
-            got = np.array(ids, dtype="<i4").tobytes(), b"".join([self.piece[i] for i in ids]) == s.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+            got = np.array(ids, dtype="<i4").tobytes()
             if len(s) <= 64:
                 self.known[s] = got
+            if b"".join([self.piece[i] for i in ids]) != s.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+                self.odd.add(s)
+        return got
+
+    def segment(self, s: str) -> tuple[bytes, bool]:
+        """Ids of a segment as little-endian int32, and whether decoding them gives it back; cut between characters that no piece has side by side."""
+        pairs, known = self.pairs, self.known
+        cuts = [0, *[k for k in range(1, len(s)) if s[k - 1 : k + 1] not in pairs], len(s)]
+        parts = [s[i:j] for i, j in zip(cuts, cuts[1:])]
+        got = b"".join([known.get(x) or self._part(x) for x in parts])
+        return got, not self.odd or self.odd.isdisjoint(parts)
+
+    def _word(self, word: str) -> bytes:
+        got, ok = self.segment(SPACE + word)
+        if len(word) <= 64:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            self.words[word] = got
+        if not ok:
+            self.odd.add(word)
         return got
 
     def encode(self, text: str) -> tuple[np.ndarray, bool]:
         """Ids as the library gives them, and whether the round trip is exact."""
         if not text:
             return np.zeros(0, dtype="<i4"), True
-        whole = SPACE + text.replace(" ", SPACE)
         if self.crossing:
-            ids = np.fromiter(self.stream([whole]), dtype="<i4")
+            ids = np.fromiter(self.stream([SPACE + text.replace(" ", SPACE)]), dtype="<i4")
             return ids, self.decode(ids) == text
-        segment, known = self.segment, self.known
-        parts, good = [], SPACE not in text
-        for s in _SEGMENT.findall(whole):
-            b, ok = known.get(s) or segment(s)
-            parts.append(b)
-            good &= ok
-        return np.frombuffer(b"".join(parts), dtype="<i4"), good
+        if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":  # marks in runs
+            found = [self.segment(s) for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE))]
+            return np.frombuffer(b"".join([b for b, _ in found]), dtype="<i4"), SPACE not in text and all(ok for _, ok in found)
+        words = text.split(" ")
+        parts = list(map(self.words.get, words))
+        if None in parts:
+            # a word that came up earlier in this text is known by now
+            parts = [self.words.get(w) or self._word(w) if b is None else b for w, b in zip(words, parts)]
+        return np.frombuffer(b"".join(parts), dtype="<i4"), not self.odd or self.odd.isdisjoint(words)
 
     def decode(self, ids) -> str:
         text = b"".join([self.piece[i] for i in ids]).decode("utf-8", "replace")
