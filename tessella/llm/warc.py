@@ -200,9 +200,9 @@ def _read(folder: str):
 
 
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the bundles of an index."""
-    names = index.select("bundle").distinct().repartition(LEAST_BUNDLES)
-    return names.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the bundles of an index; a task for about each bundle."""
+    names = index.select("bundle").distinct()
+    return names.repartition(max(LEAST_BUNDLES, names.count())).mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
