@@ -5,7 +5,9 @@ bounded, documented sample of labelled rows (TRAIN_ROWS, spread by a hash of
 the id) a logistic model over at most FEATURES words and stems is fitted in one
 task; for every labelled
 sentence with an identity term, each swap to another term of its list adds the
-squared change of the score to the loss, so naming a group moves no score.
+squared change of the score to the loss, so naming a group moves no score. An
+identity term is a feature as a whole word only: it has no stems, and a stem of
+another word is never one, so a swap changes no feature that the loss leaves out.
 Every text is then scored whole.
 """
 
@@ -44,10 +46,32 @@ def _hash_of(words: list[str]) -> np.ndarray:
     return word_hashes(split_words(pa.array(words), ALNUM_WORD))
 
 
+#: Hashes of all identity terms, and which low 16 bits they have.
+_IDENTITY = np.sort(_hash_of([t for terms in IDENTITY_TERMS for t in terms]))
+_IDENTITY_LOW = np.zeros(1 << 16, dtype=bool)
+_IDENTITY_LOW[(_IDENTITY & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+
+def _identity_at(h: np.ndarray) -> np.ndarray:
+    """Places of identity terms' hashes."""
+    at = np.flatnonzero(_IDENTITY_LOW[(h & np.uint64(0xFFFF)).astype(np.int64)])
+    return at[np.isin(h[at], _IDENTITY)]
+
+
+def _word_features(w) -> list[np.ndarray]:
+    """Hashes of each word and of its stems; where the word or the stem is an identity term, the word's."""
+    whole, *stems = stem_hashes(w, STEMS)
+    named = _identity_at(whole)
+    for h in stems:
+        for at in (named, _identity_at(h)):
+            h[at] = whole[at]
+    return [whole, *stems]
+
+
 def features(texts, keep: np.ndarray | None = None) -> list[np.ndarray]:
     """Distinct hashes of each text's words and stems, those whose cell is in ``keep`` if it is given."""
     w = split_words(texts, ALNUM_WORD, lower=True)
-    every = stem_hashes(w, STEMS)
+    every = _word_features(w)
     if keep is None:
         return [np.unique(np.concatenate([h[i:j] for h in every])) for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
     parts = []
@@ -96,8 +120,7 @@ def fit(texts: pa.ChunkedArray | pa.Array, labels: np.ndarray, step: int = 256)
     top = np.argpartition(-z, 8 * FEATURES)[: 8 * FEATURES]
     keep = np.zeros(CELLS, dtype=bool)
     keep[top[z[top] >= LEAST_Z]] = True
-    for terms in IDENTITY_TERMS:
-        keep[(_hash_of(terms) & np.uint64(CELLS - 1)).astype(np.int64)] = True
+    keep[(_IDENTITY & np.uint64(CELLS - 1)).astype(np.int64)] = True
     sets = [s for a in range(0, len(y), step) for s in features(texts.slice(a, step), keep)]
     sets, y = [s for s, f in zip(sets, fresh) if f], y[fresh]
     flat = np.concatenate(sets)
@@ -107,27 +130,21 @@ def fit(texts: pa.ChunkedArray | pa.Array, labels: np.ndarray, step: int = 256)
     z = _evidence(pos, np.bincount(at, minlength=len(words)) - pos, hits, total)
     best = np.argsort(-z, kind="stable")[:FEATURES]
     best = best[z[best] >= LEAST_Z]
-    lists = [_hash_of(x) for x in IDENTITY_TERMS]
-    used = np.unique(np.concatenate([words[best], np.intersect1d(np.concatenate(lists), words)]))
+    used = np.unique(np.concatenate([words[best], np.intersect1d(_IDENTITY, words)]))
     x = np.zeros((len(y), len(used) + 1))
     x[:, -1] = 1
     j = np.searchsorted(used, flat)
     ok = (j < len(used)) & (used[np.minimum(j, max(len(used) - 1, 0))] == flat) if len(used) else np.zeros(len(flat), bool)
     x[row[ok], j[ok]] = 1
-    # each swap is a row of differences; its squared score is penalised
+    # each swap is a row of differences of all features of the two terms; its squared score is penalised
     swaps = []
-    for terms in lists:
-        place = [np.flatnonzero(used == t) for t in terms]
-        for a in place:
-            if len(a):
-                times = x[:, a[0]].sum()
-                for b in place:
-                    if not np.array_equal(a, b) and times:
-                        d = np.zeros(len(used) + 1)
-                        d[a[0]] = -1
-                        if len(b):
-                            d[b[0]] = 1
-                        swaps.append(np.sqrt(times) * d)
+    for terms in IDENTITY_TERMS:
+        have = np.array([np.r_[np.isin(used, s), False] for s in features(pa.array(terms))], dtype=float)
+        texts_with = [x[:, :-1][:, used == t].sum() for t in _hash_of(terms)]
+        for i, times in enumerate(texts_with):
+            for j in range(len(terms)):
+                if times and (have[i] != have[j]).any():
+                    swaps.append(np.sqrt(times) * (have[j] - have[i]))
     penalty = np.diag(np.r_[np.full(len(used), RIDGE), 1e-6])
     if swaps:
         penalty += COUNTERFACTUAL * np.array(swaps).T @ np.array(swaps)
@@ -180,7 +197,7 @@ def _score(words: np.ndarray, weights: np.ndarray, intercept: float, threshold:
             w = split_words(batch.column("text"), ALNUM_WORD, lower=True)
             logit = np.full(batch.num_rows, intercept)
             found = []
-            for h in stem_hashes(w, STEMS) if len(words) and len(w) else ():
+            for h in _word_features(w) if len(words) and len(w) else ():
                 hit = np.flatnonzero(likely[(h & np.uint64(0xFFFF)).astype(np.int64)])
                 at = np.minimum(np.searchsorted(words, h[hit]), len(words) - 1)
                 same = words[at] == h[hit]

@@ -137,6 +137,23 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert toxicity.toxicity(docs, labels.limit(0)).count() == 403
 
 
+def test_toxicity_keeps_identity_terms_out_of_stems(spark):
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(50)]
+    bad = ["disgusting", "disguised", "trash", "transfix", "menacing", "blackguard"]
+    rows = [(i, " ".join(rng.sample(words, 12) + [bad[i // 3 % len(bad)]] * (i % 3 == 0))) for i in range(600)]
+    rows += [(i, " ".join(rng.sample(words, 12) + ["deaf", "gay", "women", "white"][i % 4 :][:1])) for i in range(600, 640)]
+    swaps = [("disabled", "deaf"), ("transgender", "gay"), ("men", "women"), ("black", "white")]
+    neutral = [(2000 + 2 * i + j, f"v1 v2 {t} v3") for i, pair in enumerate(swaps) for j, t in enumerate(pair)]
+    docs = spark.createDataFrame([*rows, *neutral, (1999, "v1 v2 v3"), *((3000 + i, f"v1 v2 {b}") for i, b in enumerate(bad))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 600 and i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = by_id(toxicity.toxicity(docs, labels))
+    assert all(got[3000 + i].predicted == 1 for i in range(len(bad)))
+    for i in range(len(swaps)):
+        old, new = got[2000 + 2 * i], got[2001 + 2 * i]
+        assert old.predicted == new.predicted == 0 and abs(old.score - new.score) < 0.01 and abs(old.score - got[1999].score) < 0.01
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a", "same", 1), (1, "http://b", "same", 1), (2, "http://c\r\nX: y", None, 1), (5, None, "", 1), (4, "u", "é" * 300000, 1)]
     got = by_id(warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string, bundle int")))
