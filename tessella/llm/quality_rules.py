@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Frequent words of the corpus languages.
-STOP_WORDS = ["the", "and", "of", "to", "is", "in", "that", "der", "die", "und", "das", "ist", "le", "la", "les", "et", "de", "des", "que", "el", "los", "en", "un", "una", "y"]
+_FREQUENT = ["the", "and", "of", "to", "is", "in", "that", "der", "die", "und", "das", "ist", "le", "la", "les", "et", "de", "des", "que", "el", "los", "en", "un", "una", "y"]
+#: The same as texts write them, in each case and with a mark behind: words are compared as they stand.
+STOP_WORDS = [form + mark for w in _FREQUENT for form in dict.fromkeys((w, w.capitalize(), w.upper())) for mark in ("", *".,;:!?")]
 #: (measure, least, most): the method's thresholds; None is open.
 THRESHOLDS = [
     ("mean_word_chars", 1.5, 20.0),
     ("symbol_ratio", None, 0.25),
-    ("stop_ratio", 0.0, None),
+    ("stop_ratio", 0.02, None),
     ("dup_line_ratio", None, 0.5),
     ("repeat_ratio", None, 0.5),
 ]

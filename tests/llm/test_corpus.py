@@ -191,6 +191,20 @@ def test_quality_rules(docs, texts, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_rules_reject_texts_without_stop_words(spark):
+    rng = random.Random(8)
+    menu = " | ".join(f"Item{i}" for i in range(80))
+    frequent = {"en": "the and of to", "de": "der die und ist", "fr": "le la et des", "es": "el los de que"}
+    prose = [" ".join(f"w{rng.randrange(10**6)}" if i % 8 else rng.choice(x.split()) for i in range(160)) for x in frequent.values()]
+    rows = [menu, menu + " The", *prose, *(p.upper() for p in prose), *(re.sub(" w", ", w", p) for p in prose)]
+    got = by_id(quality_rules.quality_rules(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    every = set(" ".join(frequent.values()).split())
+    for i, x in enumerate(rows):
+        w = SPACE.findall(x)
+        assert got[i].stop_ratio == round(sum(v.strip(".,;:!?").lower() in every for v in w) / len(w), 6)
+        assert not got[i].base_failed and got[i].kept == (i > 1)
+
+
 def test_mixing(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5, 18)], "doc_id long, quality int, toxic int")
     rows = mixing.mix_to_targets(docs, labels).collect()
