@@ -16,8 +16,12 @@ def without_toxic(spark, docs, sf_dir):
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: Words of a shingle and percent of Jaccard similarity from which texts are near copies.
+SHINGLE, NEAR = 5, 80
+
+
 def without_near_copies(spark, docs, sf_dir):
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, SHINGLE, NEAR)
 
 
 def without_repeated_passages(spark, docs, sf_dir):

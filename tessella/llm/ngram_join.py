@@ -306,7 +306,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id; of rows with one id all stay."""
-    gone = ngram_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = ngram_join(docs, n=n, percent=percent).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -80,6 +80,27 @@ def test_ngram_join(docs, texts, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_pipeline_drops_near_copies_of_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for more in range(15, 36):  # a copy with a paragraph of so many percent more words, and one with edits in between
+        body = [word() for _ in range(100)]
+        edited = [word() if k in (20, 60)[: more % 3] else w for k, w in enumerate(body)]
+        rows += [" ".join(body), " ".join(body + [word() for _ in range(more)]), " ".join(edited)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, rows)]
+    comp = list(range(len(sets)))
+    same = [(len(sets[a] & sets[b]), len(sets[a] | sets[b]), a, b) for a in range(len(sets)) for b in range(a)]
+    assert any(80 * u <= 100 * o < 85 * u for o, u, _, _ in same) and any(70 * u <= 100 * o < 80 * u for o, u, _, _ in same)
+    for o, u, a, b in same:
+        if 100 * o >= 80 * u:
+            comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    left = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), None)
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, c in enumerate(comp) if c == i]
+
+
 def test_trie_overlaps():
     rng = np.random.default_rng(2)
     sets = [np.sort(rng.choice(60, size=int(rng.integers(20, 50)), replace=False)) for _ in range(30)]
