@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,27 @@ LEAKAGE = {
     "version": ("low", r"[Vv]ersion [0-9]+"),
 }
 SEVERITY = {"low": 1, "medium": 2, "high": 3}
+_MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+_NAME = r"[A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+){1,2}"
+_STATES = r"Ala|Alaska|Ariz|Ark|Calif|Colo|Conn|Del|Fla|Ga|Ill|Ind|Iowa|Kan|Ky|La|Md|Mass|Mich|Minn|Mo|Nev|N\.J|N\.Y|N\.C|Ohio|Okla|Ore|Pa|Tenn|Texas|Utah|Va|Wash|Wis"
+#: Masking rules, name: (severity, pattern), in the order of the findings.
+MASKING = {
+    "exchange_ticker": ("high", re.compile(r"\b(?:Nasdaq|NASDAQ|NYSE|NYSE American|AMEX|OTC|Cboe)\s*[:：]\s*(?!Company\s+[A-Z]\b)[A-Z][A-Z.\-]{0,7}\b")),
+    "accession_number": ("high", re.compile(r"\b\d{10}-\d{2}-\d{6}\b")),
+    "cik_reference": ("high", re.compile(r"\bCIK\s*[:#]?\s*\d{6,10}\b", re.I)),
+    "email": ("high", re.compile(r"\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b", re.I)),
+    "url": ("medium", re.compile(r"\b(?:https?://|www\.)[^\s<>)\"']+", re.I)),
+    "domain": ("medium", re.compile(r"\b(?!Company\s+A\.com\b)[A-Za-z0-9][A-Za-z0-9.-]{1,}\.(?:com|net|org|io|ai|co|us|edu|gov)\b", re.I)),
+    "executive_name_before_title": ("medium", re.compile(rf"\b{_NAME}\s*,\s*(?:chair|chairman|chairwoman|chairperson|ceo|cfo|coo|president|chief\s+[a-z ]+officer|founder|general counsel)\b", re.I)),
+    "executive_name_after_said": ("medium", re.compile(rf"\b(?:said|stated|commented|noted|added)\s+{_NAME}\b")),
+    "exact_calendar_date": ("medium", re.compile(rf"\b{_MONTH}\.?\s+\d{{1,2}}(?:,\s+\d{{4}})?\b", re.I)),
+    "specific_place": ("medium", re.compile(rf"\b[A-Z][A-Z .'-]{{2,}},\s+(?:{_STATES})\.?\b")),
+    "distinctive_metric": ("low", re.compile(r"\b(?:ARR|annualized recurring revenue|remaining performance obligations|\bRPO\b|same-store sales|comparable store sales|bookings|backlog|net retention|gross merchandise value|GMV|annual recurring revenue)\b", re.I)),
+    "transaction_language": ("low", re.compile(r"\b(?:acquisition|merger|divestiture|spin-?off|tender offer|regulatory approval|closing conditions)\b", re.I)),
+}
+_NO_PERSON = {"chief", "executive", "financial", "operating", "officer", "president"}
+#: Characters of context on each side, and most characters of a match and of its context.
+_RADIUS, _MATCH, _CONTEXT = 80, 160, 260
 
 
 def decision_errors(ids: Column | None = None) -> Column:
@@ -49,12 +73,65 @@ def leakage_summary(findings: DataFrame, ident: str = "doc_id") -> DataFrame:
     return risk.groupBy("risk").agg(F.count("*").alias("n_records"))
 
 
+def _cut(text: str, most: int) -> str:
+    return text if len(text) <= most else text[: most - 3].rstrip() + "..."
+
+
+def _masking_hits(text):
+    flat, found = " ".join((text or "").split()), []
+    for rule, (severity, pattern) in MASKING.items():
+        for m in pattern.finditer(flat):
+            if rule.startswith("executive_name") and _NO_PERSON & {t.lower().strip(".,") for t in m.group(0).split()}:
+                continue
+            around = flat[max(0, m.start() - _RADIUS) : m.end() + _RADIUS]
+            found.append((rule, severity, _cut(m.group(0), _MATCH), _cut(" ".join(around.split()), _CONTEXT)))
+    return found
+
+
+def masking_findings(texts: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, rule, severity, match, context): a row for every match of every masking rule, white space folded."""
+    hits = F.udf(_masking_hits, "array<struct<rule:string,severity:string,match:string,context:string>>")
+    return texts.select(ident, F.inline(hits(F.col(text).cast("string"))))
+
+
+def _json_leaves(payload):
+    try:
+        # numbers keep their spelling; only strings are texts
+        top = json.loads(payload or "null", parse_int=_Number, parse_float=_Number, parse_constant=_Number)
+    except ValueError:
+        return []
+    out, todo = [], [("$", top)] if isinstance(top, (dict, list)) else []
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            todo += reversed([(f"{path}.{k}", v) for k, v in value.items()])
+        elif isinstance(value, list):
+            todo += reversed([(f"{path}[{i}]", v) for i, v in enumerate(value)])
+        elif isinstance(value, bool):
+            out.append((path, str(value).lower(), False))
+        else:
+            out.append((path, None if value is None else str(value), type(value) is str))
+    return out
+
+
+class _Number(str):
+    """A JSON number as it is written."""
+
+
+def _leaves(payload: str):
+    walk = F.udf(_json_leaves, "array<struct<path:string,value:string,is_text:boolean>>")
+    return F.inline(walk(F.col(payload).cast("string")))
+
+
 def json_fields(rows: DataFrame, ident: str, payload: str) -> DataFrame:
-    """(id, path, value) of every scalar in JSON objects of up to two levels."""
-    top = rows.select(ident, F.explode(F.from_json(payload, "map<string,string>")).alias("k", "v"))
-    deep = top.select(ident, F.concat(F.lit("$."), "k").alias("path"), "v", F.from_json("v", "map<string,string>").alias("m"))
-    leaf = deep.where("m is null").select(ident, "path", F.col("v").alias("value"))
-    return leaf.unionByName(deep.where("m is not null").select(ident, "path", F.explode("m").alias("k2", "value")).select(ident, F.concat("path", F.lit("."), "k2").alias("path"), "value"))
+    """(id, path, value) of every scalar in JSON objects and arrays of any depth; no rows for what is not JSON."""
+    return rows.select(ident, _leaves(payload)).select(ident, "path", "value")
+
+
+def json_masking_findings(rows: DataFrame, ident: str, payload: str) -> DataFrame:
+    """(id, path, rule, severity, match, context) for every text in JSON records of any depth."""
+    texts = rows.select(ident, _leaves(payload)).where("is_text").select(F.struct(ident, "path").alias("_at"), "value")
+    return masking_findings(texts, "_at", "value").select("_at.*", "rule", "severity", "match", "context")
 
 
 def duplicate_identities(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -313,6 +313,8 @@ _DOC = "dc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 _add("text_measures", lambda s, d: _docs(s, d).select("doc_id", X.token_count(F.col("text")).alias("n_tokens"), F.ceil(F.length("text") / 4).alias("rough_tokens"), F.sha2(X.truncated(X.folded(F.col("text")), 80).cast("binary"), 256).alias("head_sha256")), rf"WITH {_DOC}, x AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS f FROM dc) SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[._%/-][A-Za-z0-9]+)*')) AS n_tokens, CAST(ceil(length(text) / 4.0) AS BIGINT) AS rough_tokens, sha256(CASE WHEN length(f) > 80 THEN rtrim(substr(f, 1, 77)) || '...' ELSE f END) AS head_sha256 FROM x")
 _add("leakage_scan", lambda s, d: audit.leakage_scan(_docs(s, d)), f"WITH {_DOC}, h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, '{v}' AS severity, len(regexp_extract_all(text, '{p}')) AS n, regexp_extract(text, '{p}') AS first_match FROM dc" for n, (v, p) in audit.LEAKAGE.items()) + ") SELECT * FROM h WHERE n > 0")
 _add("leakage_summary", lambda s, d: audit.leakage_summary(audit.leakage_scan(_docs(s, d))), f"WITH {_DOC}, h AS (" + " UNION ALL ".join(f"SELECT doc_id, {audit.SEVERITY[v]} AS r FROM dc WHERE regexp_matches(text, '{p}')" for v, p in audit.LEAKAGE.values()) + ") SELECT risk, count(*) AS n_records FROM (SELECT doc_id, max(r) AS risk FROM h GROUP BY 1) GROUP BY 1")
+_add("masking_findings", lambda s, d: audit.masking_findings(_docs(s, d)))
+_add("masking_summary", lambda s, d: audit.leakage_summary(audit.masking_findings(_docs(s, d))))
 _add("validation_report", lambda s, d: audit.validation_report(_dec(s, d), F.array(*[F.lit(f"S00{i}") for i in range(6)], *[F.lit(f"X00{i}") for i in range(3)])), f"""{W}, v AS (SELECT 'expected_return_5d' AS field, 'missing' AS code FROM e WHERE er IS NULL UNION ALL SELECT 'expected_return_5d', 'out_of_range' FROM e WHERE abs(er) > 0.15 UNION ALL SELECT 'confidence', 'out_of_range' FROM e WHERE NOT confidence BETWEEN 0.05 AND 0.95
 UNION ALL SELECT 'evidence_used', 'too_few_items' FROM e WHERE len(evidence) < 3 UNION ALL SELECT 'action', 'sign_mismatch' FROM e WHERE action = 'buy' AND er < 0 UNION ALL SELECT 'evidence_used', 'unknown_source_id' FROM e WHERE list_contains(evidence, 'S006')) SELECT field, code, count(*) AS n FROM v GROUP BY ALL""")
 _add("json_fields", lambda s, d: audit.json_fields(A.table(s, d, "events"), "event_id", "props").groupBy("path", "value").agg(F.count("*").alias("n")), "SELECT '$.' || k AS path, json_extract_string(props, '$.' || k) AS value, count(*) AS n FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL")

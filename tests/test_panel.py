@@ -37,6 +37,30 @@ def test_query_equals_sql(spark, duck, name):
     assert _rows(df.columns, df.collect()) == _rows(names, got.fetchall())
 
 
+def test_masking_findings_hold_every_match_of_all_rules(spark):
+    texts = [
+        "Shares of (NYSE: ABC) and Nasdaq: XYZ rose. Nasdaq: Company A did not.", "See 0001234567-24-000123, CIK 0000320193.", "Mail a.b@example.com or c@d.org, see https://x.io/a and www.y.net.",
+        "Jane Q. Doe, founder, said John Roe left. Sam Poe, chief executive officer.", "On March 3, 2024 and\n  Apr. 5", "NEW YORK CITY, N.Y. and AUSTIN, Texas", "ARR and backlog after the merger or spin-off", None, "",
+    ]
+    got = audit.masking_findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.rule for r in got} == set(audit.MASKING) and len(audit.MASKING) == 12
+    of = lambda rule: [r.match for r in got if r.rule == rule]
+    assert of("exchange_ticker") == ["NYSE: ABC", "Nasdaq: XYZ"] and of("email") == ["a.b@example.com", "c@d.org"]
+    assert of("url") == ["https://x.io/a", "www.y.net."] and of("exact_calendar_date") == ["March 3, 2024", "Apr. 5"]
+    assert of("executive_name_after_said") == ["said John Roe"] and of("distinctive_metric") == ["ARR", "backlog"] and of("transaction_language") == ["merger", "spin-off"]
+    assert [r.context for r in got if r.match == "Apr. 5"] == ["On March 3, 2024 and Apr. 5"]
+    far = audit.masking_findings(spark.createDataFrame([(1, "x" * 100 + " merger " + "y" * 300)], "doc_id long, text string")).first()
+    assert far.context == "x" * 79 + " merger " + "y" * 79
+
+
+def test_json_fields_walk_every_depth(spark):
+    deep = '{"a": {"b": {"c": [1, {"d": "merger"}, [true, null]]}}, "n": 1.50, "t": "{\\"k\\": 2}", "e": {}, "l": []}'
+    rows = spark.createDataFrame([(1, deep), (2, "not json"), (3, None), (4, '[{"x": "y"}]'), (5, "7")], "id long, p string")
+    assert [r[:] for r in audit.json_fields(rows, "id", "p").collect()] == [
+        (1, "$.a.b.c[0]", "1"), (1, "$.a.b.c[1].d", "merger"), (1, "$.a.b.c[2][0]", "true"), (1, "$.a.b.c[2][1]", None), (1, "$.n", "1.50"), (1, "$.t", '{"k": 2}'), (4, "$[0].x", "y")]
+    assert [r[:] for r in audit.json_masking_findings(rows, "id", "p").collect()] == [(1, "$.a.b.c[1].d", "transaction_language", "low", "merger", "merger")]
+
+
 def test_mean_abs_difference_is_that_of_all_pairs(spark):
     rng = random.Random(3)
     for n in (0, 1, 2, 5, 9):
