@@ -15,6 +15,8 @@ curvature, which scales the step; only numbers for each domain reach the driver.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +58,15 @@ def _posterior(model: list[dict], measures: list[str]) -> Column:
 
 
 def domain_model(measured: DataFrame, labels: DataFrame) -> list[dict]:
-    """Domains from the labels' quality and toxic columns, with priors, means and variances; at most DOMAINS, the largest."""
+    """Domains from the labels' quality and toxic columns, with priors, means and variances; more than DOMAINS are an error."""
     import math
 
     named = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("x"))
     named = named.select("_id", F.concat(F.lit("q"), F.col("q").cast("string"), F.lit("t"), F.col("x").cast("string")).alias("domain"))
     rows = measured.join(named, measured.doc_id == named._id).groupBy("domain")
-    rows = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"a_{c}") for c in MEASURES], *[F.var_pop(c).alias(f"v_{c}") for c in MEASURES]).orderBy(F.desc("n"), "domain").limit(DOMAINS).collect()
+    rows = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"a_{c}") for c in MEASURES], *[F.var_pop(c).alias(f"v_{c}") for c in MEASURES]).orderBy(F.desc("n"), "domain").limit(DOMAINS + 1).collect()
+    if len(rows) > DOMAINS:
+        raise ValueError(f"the labels have more than {DOMAINS} domains")
     total = sum(r["n"] for r in rows)
     floor = {c: max(1e-4, 0.05 * sum(r["n"] * (r[f"v_{c}"] or 0) for r in rows) / max(total, 1)) for c in MEASURES}
     return [{"domain": r["domain"], "share": r["n"] / total, "log_prior": math.log(r["n"] / total)} | {c: (r[f"a_{c}"], v := (r[f"v_{c}"] or 0) + floor[c], math.log(v)) for c in MEASURES} for r in sorted(rows, key=lambda r: r["domain"])]
@@ -93,18 +97,18 @@ def _rate(z: list[float], floor: float) -> Column:
 
 
 def solve_rates(members: DataFrame, targets: list[float] | None, budget: float, floor: float, preference: list[float]) -> tuple[list[float], dict]:
-    """z of the rates over members(tokens, p), and the fit: shares aimed at and reached."""
+    """z of the rates over members(tokens, p), and the fit: shares aimed at and reached, and the largest gradient left; a warning if that is above TOLERANCE."""
     d = len(preference)
     now = members.agg(F.sum("tokens").alias("s"), *[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(d)]).first()
     total = now["s"] or 0.0
     if not total:
-        return [0.0] * d, {"target": [], "reached": []}
+        return [0.0] * d, {"target": [], "reached": [], "residual": 0.0}
     if targets is None:
         raw = [(now[f"t{i}"] or 0.0) * preference[i] for i in range(d)]
         targets = [x / sum(raw) for x in raw]
     goal, z = [budget * w for w in targets], [0.0] * d
     reached = []
-    for _ in range(ITERATIONS):
+    for turn in range(ITERATIONS + 1):
         r = _rate(z, floor)
         open_ = F.when(r > floor, F.col("tokens")).otherwise(0.0)
         sums = [F.sum(F.col("tokens") * F.col("p")[i] * r).alias(f"t{i}") for i in range(d)]
@@ -112,11 +116,15 @@ def solve_rates(members: DataFrame, targets: list[float] | None, budget: float,
         got = members.agg(*sums).first()
         reached = [got[f"t{i}"] / total for i in range(d)]
         g = [reached[i] - goal[i] + MU * z[i] for i in range(d)]
-        if max(map(abs, g)) < TOLERANCE:
+        residual = max(map(abs, g))
+        if residual < TOLERANCE:
+            break
+        if turn == ITERATIONS:
+            warnings.warn(f"rates after {ITERATIONS} iterations: gradient {residual:.2e}, shares aimed at {goal}, reached {reached}", stacklevel=2)
             break
         step = _solve([[got[f"h{min(i, j)}_{max(i, j)}"] / total + (MU if i == j else 0.0) for j in range(d)] for i in range(d)], g)
         z = [a - b for a, b in zip(z, step)]
-    return z, {"target": goal, "reached": reached}
+    return z, {"target": goal, "reached": reached, "residual": residual}
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: list[float] | None = None, budget: float = 1.0, floor: float = 0.0) -> DataFrame:

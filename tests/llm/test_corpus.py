@@ -234,6 +234,22 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_to_targets(empty, labels).count() == 0 and mixing.mix_to_targets(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_mixing_tells_what_it_cannot_do(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    measured = docs.select("doc_id", *mixing._measures(F.col("text")))
+    labels = spark.createDataFrame([(i, i % 3, i % 2) for i in range(5, 18)], "doc_id long, quality int, toxic int")
+    assert len(mixing.domain_model(measured, labels)) == 6
+    monkeypatch.setattr(mixing, "DOMAINS", 5)
+    with pytest.raises(ValueError, match="more than 5 domains"):
+        mixing.domain_model(measured, labels)
+    members = spark.createDataFrame([(10.0, [0.9, 0.1]), (20.0, [0.2, 0.8])], "tokens double, p array<double>")
+    assert mixing.solve_rates(members, [0.7, 0.3], 1.0, 0.0, [1.0, 1.0])[1]["residual"] < mixing.TOLERANCE
+    monkeypatch.setattr(mixing, "ITERATIONS", 0)
+    with pytest.warns(UserWarning, match="after 0 iterations"):
+        mixing.solve_rates(members, [0.7, 0.3], 1.0, 0.0, [1.0, 1.0])
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
