@@ -3,23 +3,40 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that one Python call holds at a time, and the least number of groups and buckets.
 GROUP_BYTES, BUCKET_BYTES, LEAST = 8 << 20, 8 << 20, 64
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset a folder of this machine serves, but only for a local
+    master; on a cluster executors would each write to their own disks, so
+    that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = getattr(shared_dir, "own", None)
         if own is None:
             own = shared_dir.own = tempfile.mkdtemp(prefix="tessella-")
@@ -37,31 +54,80 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     schema = df.schema
+    until_exit(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system delete a path when the application ends."""
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete a table made by stored() that no later read needs."""
     path = getattr(df, "_stored_at", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = _file_system(df.sparkSession, path)
+        fs.delete(where, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows and bytes; one pair of values for all operators, since plans run later."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches of whole texts small; the setting holds for the session because plans run later."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def release() -> None:
+    """Return freed memory of this Python worker to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
-def grouped(docs: DataFrame, doc_id: str, text: str, total_bytes: int) -> DataFrame:
-    """(g, doc_id, text) with documents dealt evenly to groups of about GROUP_BYTES."""
+def released(run):
+    """A function (key, table) or (key, left, right) of a grouped call, with release() after it."""
+
+    def one(key, table):
+        try:
+            return run(key, table)
+        finally:
+            release()
+
+    def two(key, left, right):
+        try:
+            return run(key, left, right)
+        finally:
+            release()
+
+    return two if run.__code__.co_argcount == 3 else one
+
+
+def free_name() -> str:
+    """A column name that no table has."""
+    return f"_{uuid.uuid4().hex}"
+
+
+def grouped(docs: DataFrame, doc_id: str, text: str, total_bytes: int, *more) -> DataFrame:
+    """(g, doc_id, text, *more) with rows dealt evenly to groups of about GROUP_BYTES, whatever their ids."""
     groups = max(LEAST, -(-total_bytes // GROUP_BYTES))
-    ident = F.col(doc_id).cast("long")
-    return docs.select(F.pmod(F.xxhash64(ident), F.lit(groups)).alias("g"), ident.alias("doc_id"), F.col(text).cast("string").alias("text"))
+    ident, body = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    return docs.select(F.pmod(F.xxhash64(ident, body), F.lit(groups)).alias("g"), ident.alias("doc_id"), body.alias("text"), *more)
+
+
+def other_columns(docs: DataFrame, text: str = "text"):
+    """All columns but the text in one struct, under whose name nothing can clash, and its type."""
+    names = [c for c in docs.columns if c.lower() != text.lower()]
+    kind = StructType([docs.schema[c] for c in names])
+    return F.struct(*[F.col(f"`{c}`") for c in names]).alias("rest"), kind
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:

@@ -15,33 +15,38 @@ distance is a metric: whatever links to a member within twice the threshold's
 distance of the leader is within three times of it. These members form the
 leader's block. In it each set is only its difference from the leader, which
 is short, and an index over the differences gives the exact overlaps of those
-that the leader did not link. Then all within twice the distance leave the
-leader's groups; the rest go on with twice the leaders, until no group is left. This
-ends for every input and loses no link that would change a component.
+that the leader did not link; only these are copied to the chunks of a large
+block. Then all within twice the distance leave the leader's groups; the rest
+go on with twice the leaders, until no group is left. This ends for every input
+and loses no link that would change a component.
+
+An n-gram is 64 bits of a keyed hash of its words; a class is the size of a set
+and two sums of 64 bits over it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.exchange import buckets_for, by_bucket, forget, grouped, pack_keys, runs, slots, small_batches, stored, text_bytes, unpack_keys
+from tessella.llm.exchange import buckets_for, by_bucket, forget, free_name, grouped, pack_keys, release, released, runs, slots, small_batches, stored, text_bytes, unpack_keys
 from tessella.llm.textkernel import SPACE_WORD, split_words, window_hashes, word_hashes
 
-_SET = "doc_id long, n_shingles long, h1 long, h2 long, n_unique int, tokens array<long>, body binary"
-#: Set members are kept as their first so many bytes; sizes and classes use all eight.
-_WIDTH = 6
-#: Members of a block that one task holds; larger blocks are dealt out as pairs of chunks.
-BLOCK_ROWS = 4096
+_SET = "doc_id long, key binary, n_shingles long, h1 long, h2 long, n_unique int, tokens array<long>, body binary"
+_WIDTH = 8
+#: Members of a block in one chunk; larger blocks are dealt out by chunks.
+BLOCK_ROWS = 512
+#: Members of a leader that one task compares with it.
+PIECE_ROWS = 512
 
 
 def shingle_sets(texts, n: int = 4):
     """Distinct n-gram hashes of each text, sorted: all hashes and the first place of each text."""
     w = split_words(texts, SPACE_WORD, lower=True)
-    h, counts = word_hashes(w), w.counts
+    h, counts = word_hashes(w)[0], w.counts
     parts = []
     full = window_hashes(h, n)
     short = {k: window_hashes(h, k) for k in range(1, n)}
@@ -88,7 +93,6 @@ def _codes(key, table):
 
 def _sets(n: int, percent: int, buckets: int):
     def run(key, docs, answers):
-        docs = docs.sort_by([("doc_id", "ascending")])
         sets, first = shingle_sets(docs.column("text"), n)
         slot, place = np.unique(slots(sets, buckets), return_inverse=True)
         code = np.zeros(len(slot), dtype=np.uint8)
@@ -116,19 +120,21 @@ def _sets(n: int, percent: int, buckets: int):
             shared = head[c[head] > 1]
             unique.append(prefix - len(shared))
             tokens.append(s[shared].view(np.int64))
-            bodies.append(s[order[::-1]].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH].tobytes())
+            bodies.append(_packed(s[order[::-1]]))
         return pa.table(
-            [docs.column("doc_id"), sizes.astype(np.int64), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(unique, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bodies, pa.binary())],
-            names=["doc_id", "n_shingles", "h1", "h2", "n_unique", "tokens", "body"],
+            [docs.column("doc_id"), docs.column("key"), sizes.astype(np.int64), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(unique, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bodies, pa.binary())],
+            names=["doc_id", "key", "n_shingles", "h1", "h2", "n_unique", "tokens", "body"],
         )
 
     return run
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    return tokens.astype(">u8").tobytes()
+
+
 def _unpacked(body: bytes) -> np.ndarray:
-    raw = np.zeros((len(body) // _WIDTH, 8), dtype=np.uint8)
-    raw[:, 8 - _WIDTH :] = np.frombuffer(body, np.uint8).reshape(-1, _WIDTH)
-    return raw.view(">u8").ravel().astype(np.uint64)
+    return np.frombuffer(body, ">u8").astype(np.uint64)
 
 
 def trie_overlaps(query: bytes, members: list[bytes], percent: int) -> list[int]:
@@ -163,41 +169,47 @@ def trie_overlaps(query: bytes, members: list[bytes], percent: int) -> list[int]
     return out
 
 
-def _packed(tokens: np.ndarray) -> bytes:
-    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - _WIDTH :].tobytes()
-
-
 def _verify(percent: int):
+    """Overlaps of a leader with its members; the leader's own body comes first, each piece of its members is one trie."""
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+
     def run(batches):
+        leader, query = None, None
         for batch in batches:
-            lead, member = batch.column("leader").to_pylist(), batch.column("rep").to_pylist()
-            sets, queries = batch.column("body").to_pylist(), batch.column("leader_body").to_pylist()
+            lead, member, sets = batch.column("leader").to_pylist(), batch.column("rep").to_pylist(), batch.column("body").to_pylist()
             found, i = [], 0
             while i < len(lead):
                 j = i
                 while j < len(lead) and lead[j] == lead[i]:
                     j += 1
-                base = np.sort(_unpacked(queries[i]))
-                for k, o in enumerate(trie_overlaps(queries[i], sets[i:j], percent)):
+                if lead[i] != leader:
+                    leader, query = lead[i], None
+                if member[i] == leader:
+                    query, base = sets[i], np.sort(_unpacked(sets[i]))
+                    i += 1
+                if i < j and query is None:
+                    raise ValueError(f"members of leader {leader} before its own set")
+                for k, o in enumerate(trie_overlaps(query, sets[i:j], percent) if i < j else ()):
                     if o >= 0:
                         size = len(sets[i + k]) // _WIDTH
-                        found.append((lead[i], member[i + k], o, len(base) + size - o, size, _packed(np.setxor1d(base, _unpacked(sets[i + k])))))
+                        found.append((leader, member[i + k], o, len(base) + size - o, size, _packed(np.setxor1d(base, _unpacked(sets[i + k]), assume_unique=True))))
                 i = j
-            kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], k) for c, k in enumerate(kinds)], names=["leader", "rep", "overlap", "together", "size", "delta"])
+        release()
 
     return run
 
 
 def _block_links(percent: int):
-    """Links of a block's members that the leader did not link, up to those that join nothing new."""
+    """Links of members that a leader did not link: with each other, or with those of one chunk that it did link."""
 
     def run(key, table):
-        table = table.sort_by([("rep", "ascending")])
-        rep, part = table.column("rep").to_numpy(), table.column("part").to_numpy()
-        size = table.column("size").to_numpy()
-        linked = np.array(table.column("linked").to_pylist(), dtype=bool)
-        deltas = [_unpacked(d) for d in table.column("delta").to_pylist()]
+        rep, linked = table.column("rep").to_numpy(), np.array(table.column("linked").to_pylist(), dtype=bool)
+        order = np.argsort(rep, kind="stable")
+        rep, linked = rep[order], linked[order]
+        size, part = table.column("size").to_numpy()[order], table.column("part").to_numpy()[order]
+        deltas = table.column("delta").to_pylist()
+        deltas = [_unpacked(deltas[i]) for i in order]
         count = np.array([len(d) for d in deltas])
         flat, owner = np.concatenate(deltas), np.repeat(np.arange(len(rep)), count)
         order = np.argsort(flat, kind="stable")
@@ -207,7 +219,7 @@ def _block_links(percent: int):
         tokens = flat[start]
         # what the leader linked is one component already
         root = np.where(linked, -1, np.arange(len(rep)))
-        cross = key[1].as_py() != key[2].as_py()
+        among, cross = not linked.any(), key[1].as_py() != key[2].as_py()
         edges = []
         for y in np.flatnonzero(~linked):
             at = np.searchsorted(tokens, deltas[y])
@@ -218,7 +230,9 @@ def _block_links(percent: int):
             apart = count + count[y] - 2 * shared
             good = 200 * ((size + size[y] - apart) // 2) >= 2 * percent * ((size + size[y] + apart) // 2)
             good[y] = False
-            if cross:
+            if not among:
+                good &= linked
+            elif cross:
                 good &= part != part[y]
             for x in np.flatnonzero(good & (root != root[y])):
                 if root[x] != root[y]:
@@ -230,14 +244,26 @@ def _block_links(percent: int):
 
 
 def _blocks(found: DataFrame, percent: int) -> DataFrame:
-    """Links within the blocks of all leaders that left some of their block unlinked."""
+    """Links within the blocks of all leaders that left some of their block unlinked.
+
+    The linked members of a leader are dealt to chunks and every unlinked one
+    visits each of them (i = -1, j the chunk); the unlinked ones meet each
+    other in pairs of their own chunks (i <= j).
+    """
     rows = found.withColumn("linked", F.expr(f"100 * overlap >= {percent} * together"))
-    open_ = rows.groupBy("leader").agg(F.count("*").alias("c"), F.max(~F.col("linked")).alias("open")).where("open and c > 1")
-    rows = rows.join(open_.select("leader", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("chunks")), "leader")
-    part = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("leader", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "size", "linked", "delta")
-    return rows.groupBy("leader", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    count = rows.groupBy("leader").agg(F.count_if("linked").alias("near"), F.count_if(~F.col("linked")).alias("far")).where("far > 0 and near + far > 1")
+    chunks = [F.ceil(F.col(c) / BLOCK_ROWS).cast("int").alias(c) for c in ("near", "far")]
+    rows = rows.join(count.select("leader", *chunks), "leader")
+    hashed = F.xxhash64("rep")
+    own = F.pmod(hashed, F.greatest(F.when(F.col("linked"), F.col("near")).otherwise(F.col("far")), F.lit(1))).cast("int")
+    rows = rows.withColumn("part", own)
+    place = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    none = F.array().cast("array<struct<i:int,j:int>>")
+    to_near = F.when(F.col("near") > 0, F.transform(F.sequence(F.lit(0), F.col("near") - 1), lambda j: place(F.lit(-1), j))).otherwise(none)
+    to_far = F.transform(F.sequence(F.lit(0), F.col("far") - 1), lambda j: place(F.least("part", j), F.greatest("part", j)))
+    visits = F.when(F.col("linked"), F.array(place(F.lit(-1), F.col("part")))).otherwise(F.concat(to_near, to_far))
+    rows = rows.withColumn("at", F.explode(visits)).select("leader", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "part", "rep", "size", "linked", "delta")
+    return rows.groupBy("leader", "i", "j").applyInArrow(released(_block_links(percent)), "a long, b long")
 
 
 def _classes(sets: DataFrame) -> DataFrame:
@@ -264,8 +290,15 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         leaders = stored(best.select("token", F.col("best.rep").alias("leader"), F.col("best.n_shingles").alias("leader_n")), "leaders")
         near = live.join(leaders, "token").where(f"rep <> leader and 100 * least(n_shingles, leader_n) >= {loose} * greatest(n_shingles, leader_n)")
         tests = stored(near.select("token", "leader", "rep"), "tests")
-        pairs = tests.select("leader", "rep").distinct().join(bodies, "rep").join(bodies.select(F.col("rep").alias("leader"), F.col("body").alias("leader_body")), "leader")
-        found = stored(pairs.sortWithinPartitions("leader").mapInArrow(_verify(loose), "leader long, rep long, overlap long, together long, size long, delta binary"), "found")
+        # one test for each (leader, member), and the leader's own set, once for each piece of its members, before them
+        pairs = tests.select("leader", "rep").distinct()
+        pieces = F.ceil(F.count("*") / PIECE_ROWS).cast("int")
+        spread = pairs.groupBy("leader").agg(pieces.alias("pieces"))
+        piece = F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")
+        own = spread.select("leader", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("late"), F.col("leader").alias("rep"))
+        visits = pairs.join(spread, "leader").select("leader", piece.alias("piece"), F.lit(1).alias("late"), "rep").unionByName(own)
+        visits = visits.join(bodies, "rep").repartition("leader", "piece").sortWithinPartitions("leader", "piece", "late")
+        found = stored(visits.select("leader", "rep", "body").mapInArrow(_verify(loose), "leader long, rep long, overlap long, together long, size long, delta binary"), "found")
         linked = F.expr(f"100 * overlap >= {percent} * together")
         links.append(found.where(linked).select(F.col("leader").alias("a"), F.col("rep").alias("b")))
         links.append(stored(_blocks(found, percent), "blocks"))
@@ -282,6 +315,25 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _components(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id) for each row; the key is a digest of the text."""
+    small_batches(docs.sparkSession)
+    size = text_bytes(docs, text)
+    buckets = buckets_for(size)
+    base = grouped(docs, doc_id, text, size, _text_key(F.col(text)).alias("key"))
+    codes = base.groupBy("g").applyInArrow(released(_counts(n, buckets)), "bucket long, g long, n int, packed binary").groupBy("bucket").applyInArrow(released(_codes), "g long, bucket long, n int, codes binary")
+    sets = stored(base.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(released(_sets(n, percent, buckets)), _SET), "shingles")
+    classes = stored(_classes(sets), "classes")
+    parts = connected_components(_links(sets, classes, percent))
+    named = classes.join(parts.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    out = sets.select("doc_id", "key", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
+    return out.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _text_key(text) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
@@ -290,23 +342,31 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     100 * |intersection| >= percent * |union|; component_id is the smallest
     doc_id reachable. Null, empty and word-less texts have an empty set, link
     with nothing and are their own component. Repeated rows and equal texts
-    share a component; a null doc_id takes its class's id, or null; an empty
-    table gives an empty table; other columns are not read.
+    share a component; a null doc_id takes the component of the rows with the
+    same set that have an id, or null; an empty table gives an empty table;
+    other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    size = text_bytes(docs, text)
-    buckets = buckets_for(size)
-    base = grouped(docs, doc_id, text, size)
-    codes = base.groupBy("g").applyInArrow(_counts(n, buckets), "bucket long, g long, n int, packed binary").groupBy("bucket").applyInArrow(_codes, "g long, bucket long, n int, codes binary")
-    sets = stored(base.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(_sets(n, percent, buckets), _SET), "shingles")
-    classes = stored(_classes(sets), "classes")
-    parts = connected_components(_links(sets, classes, percent))
-    named = classes.join(parts.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _components(docs, doc_id, text, n, percent).drop("key")
 
 
 def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; of rows with one id all stay."""
-    gone = ngram_join(docs, n=n, percent=percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` without the documents whose component has a smaller doc_id.
+
+    Rows are told apart by doc_id and a digest of the text, so of two texts
+    with one id each is judged by itself; of rows that repeat both, one stays.
+    A row without an id goes if a row with an id has its set, and of rows
+    without an id and with one text one stays. Rows without words all stay.
+    Other columns may have any name.
+    """
+    ident, key, again = free_name(), free_name(), free_name()
+    judged = _components(docs, "doc_id", "text", n, percent).where("n_shingles > 0").select(F.col("doc_id").alias(ident), F.col("key").alias(key), "component_id")
+    judged = stored(judged.groupBy(ident, key).agg(F.max("component_id").alias("component_id"), F.count("*").alias("rows")), "judged")
+    gone = judged.where(f"component_id <> coalesce({ident}, component_id - 1)").select(ident, key)
+    copies = judged.where("rows > 1").select(ident, key)
+    row, digest = F.col("doc_id").cast("long"), _text_key(F.col("text"))
+    left = docs.join(gone, row.eqNullSafe(gone[ident]) & (digest == gone[key]), "left_anti")
+    if copies.isEmpty():
+        return left
+    same = lambda t: row.eqNullSafe(t[ident]) & (digest == t[key])
+    once = left.join(copies, same(copies), "left_semi").withColumn(ident, row).withColumn(again, digest).dropDuplicates([ident, again])
+    return left.join(copies, same(copies), "left_anti").unionByName(once.select(*[F.col(f"`{c}`") for c in docs.columns]))

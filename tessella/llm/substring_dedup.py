@@ -4,9 +4,11 @@ Fixed-block anchors: every document is cut into non-overlapping blocks of
 ``(window + 1) // 2`` words, which form the index. Every rolling run of that
 many words probes it. A window of ``window`` words that is repeated elsewhere
 holds a whole block, and the repeat makes that block's hash occur twice, so
-only windows around a block that was hit can be repeated. Those windows are
-compared exactly, by 96 bits and more of hash, and the union of the repeated
-ones is the union of all maximal exact repeats of at least ``window`` words.
+repeats can only lie around a block that was hit. Each hit is extended to both
+sides, a word at a time, over the windows that hold the block: a window is part
+of the repeat if its words also start elsewhere, by 128 bits of a keyed hash of
+the words (two texts of a corpus of 2**40 windows agree by chance with odds
+below 2**-48). Runs of such windows are the maximal exact repeats.
 
 Hashes travel as compressed arrays, one row for each (group of documents,
 hash bucket), distinct within the group; answers return as bit strings in the
@@ -20,10 +22,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tessella.llm.exchange import buckets_for, by_bucket, grouped, pack_keys, runs, slots, small_batches, text_bytes, unpack_keys
+from tessella.llm.exchange import buckets_for, by_bucket, grouped, other_columns, pack_keys, released, runs, slots, small_batches, text_bytes, unpack_keys
 from tessella.llm.textkernel import split_words, window_hashes, word_hashes
 
 _PROBE = "bucket long, g long, n int, packed binary"
@@ -42,11 +46,10 @@ class _Group:
     """Words and block hashes of one group of documents, the same at each visit."""
 
     def __init__(self, table: pa.Table, window: int, buckets: int):
-        table = table.sort_by([("doc_id", "ascending")]) if table.num_rows else table
-        self.ids = table.column("doc_id")
+        self.table = table
         self.window, self.buckets, self.block = window, buckets, (window + 1) // 2
         self.words = split_words(table.column("text"))
-        self.hashes = word_hashes(self.words)
+        self.hashes, self.others = word_hashes(self.words)
         end = self.words.document_end()
         roll = window_hashes(self.hashes, self.block)
         n = len(roll)
@@ -76,21 +79,30 @@ class _Group:
         open_ = np.cumsum(change)[:n] > 0
         return np.flatnonzero(open_ & (np.arange(n) + self.window <= self.end[:n]))
 
-    def window_keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = window_hashes(self.hashes, self.window, 0), window_hashes(self.hashes, self.window, 1)
-        return slots(a[at], self.buckets), b[at]
+    def window_keys(self, at: np.ndarray) -> np.ndarray:
+        """Slot, further bits of the first hash, and second hash of windows, as columns of one sortable array."""
+        one, two = window_hashes(self.hashes, self.window)[at], window_hashes(self.others, self.window)[at]
+        return np.rec.fromarrays([slots(one, self.buckets), (one >> np.uint64(32)).astype("<u4"), two], names="slot,high,other")
 
 
-def _distinct(slot: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (slot, second), whether each occurs twice, and for each input its place among them."""
-    order = np.lexsort((second, slot))
-    s, t = slot[order], second[order]
-    new = np.ones(len(s), dtype=bool)
-    new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
-    place = np.empty(len(s), dtype=np.int64)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct window keys, whether each occurs twice, and for each input its place among them."""
+    order = np.lexsort((keys.other, keys.high, keys.slot))
+    k = keys[order]
+    new = _changes(k.slot, k.high, k.other)
+    place = np.empty(len(k), dtype=np.int64)
     place[order] = np.cumsum(new) - 1
     start = np.flatnonzero(new)
-    return s[start], t[start], np.diff(np.r_[start, len(s)]) > 1, place
+    return k[start], np.diff(np.r_[start, len(k)]) > 1, place
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the row before."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
 
 def _probes(window: int, buckets: int):
@@ -138,8 +150,8 @@ def _by_kind(answers: pa.Table, kind: int) -> dict[int, bytes]:
 def _windows(window: int, buckets: int):
     def run(key, docs, answers):
         g = _Group(docs, window, buckets)
-        slot, second, multi, _ = _distinct(*g.window_keys(g.candidates(_by_kind(answers, 0))))
-        rows = [(b, j - i, pack_keys(slot[i:j].astype(np.uint32), second[i:j], multi[i:j])) for b, i, j in by_bucket(slot)]
+        k, multi, _ = _distinct(g.window_keys(g.candidates(_by_kind(answers, 0))))
+        rows = [(b, j - i, pack_keys(k.slot[i:j].astype(np.uint32), k.other[i:j], k.high[i:j], multi[i:j])) for b, i, j in by_bucket(k.slot)]
         return pa.table([[r[0] for r in rows], [key[0].as_py()] * len(rows), [r[1] for r in rows], [r[2] for r in rows]], schema=_probe_schema())
 
     return run
@@ -147,89 +159,112 @@ def _windows(window: int, buckets: int):
 
 def _window_hits(key, table):
     keys, rest, sizes = _read(table)
-    second = np.concatenate([np.frombuffer(r, np.uint64, n) for r, n in zip(rest, sizes)])
-    multi = np.concatenate([np.frombuffer(r, np.uint8, n, offset=8 * n) for r, n in zip(rest, sizes)])
-    order = np.lexsort((second, keys))
-    k, s = keys[order], second[order]
-    new = np.ones(len(k), dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+    other = np.concatenate([np.frombuffer(r, "<u8", n) for r, n in zip(rest, sizes)])
+    high = np.concatenate([np.frombuffer(r, "<u4", n, offset=8 * n) for r, n in zip(rest, sizes)])
+    multi = np.concatenate([np.frombuffer(r, np.uint8, n, offset=12 * n) for r, n in zip(rest, sizes)])
+    order = np.lexsort((other, high, keys))
+    new = _changes(keys[order], high[order], other[order])
     places = np.add.reduceat(1 + multi[order].astype(np.int64), np.flatnonzero(new))
     hit = np.empty(len(keys), dtype=bool)
     hit[order] = (places >= 2)[np.cumsum(new) - 1]
     return _answers(key, table, sizes, hit, np.ones(len(keys), dtype=bool), 1)
 
 
+def _gone(g: _Group, answers: pa.Table) -> np.ndarray:
+    """Which words of a group lie in a repeated window."""
+    at = g.candidates(_by_kind(answers, 0))
+    k, _, place = _distinct(g.window_keys(at))
+    repeated = np.zeros(len(k), dtype=bool)
+    bits = _by_kind(answers, 1)
+    for b, i, j in by_bucket(k.slot):
+        if b in bits:
+            repeated[i:j] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=j - i).astype(bool)
+    at = at[repeated[place]]
+    change = np.zeros(len(g.words) + 1, dtype=np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + g.window, -1)
+    return np.cumsum(change)[: len(g.words)] > 0
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _kept(window: int, buckets: int, with_text: bool):
     def run(key, docs, answers):
         g = _Group(docs, window, buckets)
-        at = g.candidates(_by_kind(answers, 0))
-        slot, _, _, place = _distinct(*g.window_keys(at))
-        repeated = np.zeros(len(slot), dtype=bool)
-        bits = _by_kind(answers, 1)
-        for b, i, j in by_bucket(slot):
-            if b in bits:
-                repeated[i:j] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=j - i).astype(bool)
-        at = at[repeated[place]]
-        change = np.zeros(len(g.words) + 1, dtype=np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + window, -1)
-        gone = np.cumsum(change)[: len(g.words)] > 0
-        first, removed, digest, kept = g.words.first, [], [], []
+        gone = _gone(g, answers)
+        first, removed, digest, kept, spans = g.words.first, [], [], [], []
         total = np.r_[0, np.cumsum(gone)]
-        for d in range(len(first) - 1):
-            i, j = int(first[d]), int(first[d + 1])
+        for d, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
             cut = int(total[j] - total[i])
             removed.append(cut)
-            raw = g.words.text(d)
+            words = g.words.text(d).split()
             if not cut:
-                digest.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
-                kept.append(raw.decode() if with_text else None)
-                continue
-            stay = np.flatnonzero(~gone[i:j])
-            words = raw.split()
-            digest.append(hashlib.sha256(b" ".join([words[k] for k in stay])).hexdigest())
-            if with_text:
-                base = int(g.words.offsets[d])
-                edge = np.flatnonzero(np.diff(stay) > 1)
-                pieces = [] if not len(stay) else [raw[g.words.start[i + a] - base : g.words.end[i + b] - base] for a, b in zip(stay[np.r_[0, edge + 1]], stay[np.r_[edge, len(stay) - 1]])]
-                kept.append(b" ".join(pieces).decode())
-            else:
+                digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 kept.append(None)
-        return pa.table(
-            [g.ids.combine_chunks() if g.ids.num_chunks != 1 else g.ids, np.diff(first), np.asarray(removed, dtype=np.int64), pa.array(digest, pa.string()), pa.array(kept, pa.string())],
-            schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]),
-        )
+                spans.append([])
+                continue
+            edge = np.flatnonzero(np.diff(np.r_[False, gone[i:j], False]))
+            spans.append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
+            stay = [0, *edge.tolist(), j - i]
+            digest.append(hashlib.sha256(b" ".join([w for a, b in zip(stay[::2], stay[1::2]) for w in words[a:b]])).hexdigest())
+            # what stays between two repeats keeps its own white space
+            raw, base = g.words.text(d), int(g.words.offsets[d])
+            kept.append(b" ".join([raw[g.words.start[i + a] - base : g.words.end[i + b - 1] - base] for a, b in zip(stay[::2], stay[1::2]) if a < b]).decode() if with_text else None)
+        rows = {"doc_id": g.table.column("doc_id"), "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "spans": pa.array(spans, _SPANS)}
+        if with_text:
+            changed = np.array([c > 0 for c in removed], dtype=bool)
+            rows["kept_text"] = pc.if_else(pa.array(changed), pa.array(kept, pa.string()), g.table.column("text").cast(pa.string()).combine_chunks())
+            rows |= {c: g.table.column(c) for c in g.table.column_names if c == "rest"}
+        return pa.table(rows)
 
     return run
 
 
+def _cut(docs: DataFrame, doc_id: str, text: str, window: int, with_text: bool, *carried) -> DataFrame:
+    small_batches(docs.sparkSession)
+    size = text_bytes(docs, text)
+    buckets = buckets_for(size)
+    rest = [c for c, _ in carried]
+    groups = grouped(docs, doc_id, text, size, *rest)
+    hits = groups.groupBy("g").applyInArrow(released(_probes(window, buckets)), _PROBE).groupBy("bucket").applyInArrow(released(_block_hits), _ANSWER)
+    spans = groups.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(released(_windows(window, buckets)), _PROBE)
+    repeated = spans.groupBy("bucket").applyInArrow(released(_window_hits), _ANSWER)
+    kind = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    if with_text:
+        kind = kind.add("kept_text", "string")
+    for _, t in carried:
+        kind = kind.add("rest", t)
+    return groups.groupBy("g").cogroup(hits.unionByName(repeated).groupBy("g")).applyInArrow(released(_kept(window, buckets, with_text)), kind)
+
+
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text) for each row of ``docs``.
+    """(doc_id, n_words, n_removed, kept_sha256, spans) for each row of ``docs``.
 
     A word goes if a window of ``window`` words that covers it also starts at
-    any other place, in the same document or another. kept_text (only
-    ``with_text``) is the text without those words; a text that loses none is
-    unchanged. Null and empty texts have no words; repeated rows are separate
-    places, so both lose what they share; a document shorter than the window
-    loses nothing; an empty table gives an empty table. Other columns are not
-    read. Rows with equal ids are each reported.
+    any other place, in the same document or another; spans are the maximal
+    runs of such words, from word to word. ``with_text`` adds kept_text, the
+    text without them; a text that loses none is unchanged. Null and empty
+    texts have no words; repeated rows are separate places, so both lose what
+    they share; a document shorter than the window loses nothing; an empty
+    table gives an empty table. Other columns are not read. Rows with equal or
+    null ids are each reported.
     """
-    small_batches(docs.sparkSession)
-    size = text_bytes(docs, text)
-    buckets = buckets_for(size)
-    groups = grouped(docs, doc_id, text, size)
-    hits = groups.groupBy("g").applyInArrow(_probes(window, buckets), _PROBE).groupBy("bucket").applyInArrow(_block_hits, _ANSWER)
-    spans = groups.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_windows(window, buckets), _PROBE)
-    repeated = spans.groupBy("bucket").applyInArrow(_window_hits, _ANSWER)
-    answers = hits.unionByName(repeated)
-    return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_kept(window, buckets, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return _cut(docs, doc_id, text, window, with_text)
 
 
 def dedup_documents(docs: DataFrame, window: int = 35) -> DataFrame:
-    """``docs`` with repeated sequences cut from ``text`` and n_chars counted anew; every row stays."""
-    cut = substring_dedup(docs, window=window, with_text=True).select(F.col("doc_id").alias("_id"), "n_removed", "kept_text")
-    changed = cut.where("n_removed > 0").groupBy("_id").agg(F.first("kept_text").alias("kept_text"))
-    out = docs.join(changed, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    text = F.when(F.col("_id").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
-    fields = {"text": text.alias("text"), "n_chars": F.when(F.col("_id").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
-    return out.select(*[fields.get(c, docs[c]) for c in docs.columns])
+    """``docs`` with repeated sequences cut from ``text`` and n_chars, where there is such a column, counted anew.
+
+    Every row stays, with null and repeated ids too: the other columns
+    travel with the text, so nothing is joined by id and no column name can
+    clash. A null text stays null; a text that repeats as a whole is empty.
+    """
+    rest, kind = other_columns(docs)
+    out = _cut(docs, "doc_id", "text", window, True, (rest, kind))
+    changed = F.col("n_removed") > 0
+    columns = {c: F.col("rest").getField(c).alias(c) for c in kind.names}
+    columns["text"] = F.col("kept_text").cast(docs.schema["text"].dataType).alias("text")
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars")).alias("n_chars")
+    return out.select(*[columns[c] for c in docs.columns])

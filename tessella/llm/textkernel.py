@@ -1,11 +1,16 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 Everything here works on bytes: the words that the operators use are runs of
-bytes outside a separator set, so UTF-8 never has to be decoded.
+bytes outside a separator set, so UTF-8 never has to be decoded. Words that
+must be told apart exactly are hashed by a keyed function of their bytes to 128
+bits (SipHash with one round a block and three at the end; BLAKE2b for words
+beyond LONG_WORD bytes); hashes of word windows are trees of non-linear joins
+over these, so no text collides by algebra.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +19,10 @@ import pyarrow as pa
 _STEP = 1 << 18  # bytes or words hashed at a time, so that temporaries stay in cache
 _MASK = (1 << 64) - 1
 BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-WINDOW_BASES = (0xD1B54A32D192ED03 | 1, 0x8CB92BA72F3D8DD7 | 1)
+_KEY = b"words of a text."
+#: Bytes beyond which a word is hashed by itself.
+LONG_WORD = 256
+_JOIN = (np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7))
 
 #: Separators of ``[^\x20\x09-\x0D]+``.
 SPACE_WORD = np.ones(256, dtype=bool)
@@ -61,6 +69,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    inside: np.ndarray
 
     def __len__(self) -> int:
         return len(self.start)
@@ -76,6 +85,12 @@ class Words:
     def document_start(self) -> np.ndarray:
         return np.repeat(self.first[:-1], self.counts)
 
+    def column(self) -> pa.Array:
+        """The words as a binary column."""
+        offsets = np.zeros(len(self) + 1, dtype=np.int64)
+        np.cumsum(self.end - self.start, out=offsets[1:])
+        return pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[self.inside])])
+
     def text(self, d: int) -> bytes:
         return self.data[self.offsets[d] : self.offsets[d + 1]].tobytes()
 
@@ -104,11 +119,81 @@ def split_words(texts, is_word: np.ndarray = SPACE_WORD, lower: bool = False) ->
     before[-1:] = False
     before[offsets[1:][offsets[1:] > 0] - 1] = False
     end = np.flatnonzero(inside & ~before) + 1
-    return Words(data, offsets, start, end, np.searchsorted(start, offsets))
+    return Words(data, offsets, start, end, np.searchsorted(start, offsets), inside)
+
+
+def _rotate(x: np.ndarray, by: int, spare: np.ndarray) -> None:
+    np.right_shift(x, np.uint64(64 - by), out=spare)
+    x <<= np.uint64(by)
+    x |= spare
+
+
+def _sip_rounds(v: list[np.ndarray], times: int) -> None:
+    a, b, c, d = v
+    spare = np.empty_like(a)
+    for _ in range(times):
+        a += b
+        _rotate(b, 13, spare)
+        b ^= a
+        _rotate(a, 32, spare)
+        c += d
+        _rotate(d, 16, spare)
+        d ^= c
+        a += d
+        _rotate(d, 21, spare)
+        d ^= a
+        c += b
+        _rotate(b, 17, spare)
+        b ^= c
+        _rotate(c, 32, spare)
+
+
+def _sip(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Halves of the 128-bit hash of byte ranges; eight readable bytes follow each range."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    keys = np.frombuffer(_KEY, "<u8")
+    # The function's initial state.
+    state = [np.full(len(start), keys[i & 1] ^ np.uint64(c)) for i, c in enumerate((0x736F6D6570736575, 0x646F72616E646F6D ^ 0xEE, 0x6C7967656E657261, 0x7465646279746573))]
+
+    def absorb(v, m):
+        v[3] ^= m
+        _sip_rounds(v, 1)
+        v[0] ^= m
 
+    blocks = size >> 3
+    for b in range(int(blocks.max(initial=0))):
+        at = np.flatnonzero(blocks > b)
+        part = [x[at] for x in state]
+        absorb(part, eight[start[at] + 8 * b])
+        for x, y in zip(state, part):
+            x[at] = y
+    rest = (size & 7).astype(np.uint64)
+    absorb(state, eight[start + 8 * blocks] & ((np.uint64(1) << (rest << np.uint64(3))) - np.uint64(1)) | size.astype(np.uint64) << np.uint64(56))
+    state[2] ^= np.uint64(0xEE)
+    _sip_rounds(state, 3)
+    first = state[0] ^ state[1] ^ state[2] ^ state[3]
+    state[1] ^= np.uint64(0xDD)
+    _sip_rounds(state, 3)
+    return first, state[0] ^ state[1] ^ state[2] ^ state[3]
 
-def word_hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+
+def word_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit keyed hash of each word's bytes, as two halves."""
+    halves = np.empty(len(w), dtype=np.uint64), np.empty(len(w), dtype=np.uint64)
+    data = np.concatenate([w.data, np.zeros(16, np.uint8)])
+    size = w.end - w.start
+    for i in range(0, len(w), _STEP >> 4):
+        j = min(len(w), i + (_STEP >> 4))
+        for half, got in zip(halves, _sip(data, w.start[i:j], np.minimum(size[i:j], LONG_WORD))):
+            half[i:j] = got
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(w.data[w.start[i] : w.end[i]].tobytes(), digest_size=16, key=_KEY).digest()
+        halves[0][i], halves[1][i] = np.frombuffer(digest, "<u8")
+    return halves
+
+
+def feature_hashes(w: Words) -> np.ndarray:
+    """A 64-bit hash of each word, the one that stem_hashes gives; for model features, whose collisions do no harm."""
     return _hashes(w, (None,))[0]
 
 
@@ -139,18 +224,39 @@ def _hashes(w: Words, lengths) -> list[np.ndarray]:
     return [mix(out) for out in outs]
 
 
-def window_hashes(values: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of every k consecutive values; windows that cross documents are the caller's to drop."""
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs in order; one-to-one in each part while the other is fixed."""
+    t = a * _JOIN[0]
+    t ^= t >> np.uint64(32)
+    t += b
+    t *= _JOIN[1]
+    t ^= t >> np.uint64(29)
+    return t
+
+
+def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every k consecutive values; windows that cross documents are the caller's to drop.
+
+    A window is joined from runs of 1, 2, 4, ... values, each the join of two
+    runs of half its length.
+    """
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    base = WINDOW_BASES[which]
     out = np.empty(n, dtype=np.uint64)
-    for i in range(0, n, _STEP):
-        j = min(n, i + _STEP)
-        part = values[i : j + k - 1] * _power(base, j - i + k - 1)
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(part, out=total[1:])
-        out[i:j] = (total[k:] - total[:-k]) * _power(_inverse(base), j - i)
+    step = _STEP >> 3
+    for i in range(0, n, step):
+        m = min(n - i, step)
+        run, size, used, total = values[i : i + m + k - 1], 1, 0, None
+        while True:
+            if k & size:
+                part = run[used : used + m]
+                total = part.copy() if total is None else _joined(total, part)
+                used += size
+            if 2 * size > k:
+                break
+            run = _joined(run[:-size], run[size:])
+            size *= 2
+        out[i : i + m] = total
     out += np.uint64(k)
     return mix(out)
