@@ -4,15 +4,18 @@ The model at hand is a BPE model, so the best path is not that of the largest
 sum of scores but the one that the merges give. It has the same form: a token
 sequence is the encoding exactly if each two neighbours are, so every prefix
 has one last token, found from the last tokens of shorter prefixes. The pass
-keeps backpointers in a window of the longest piece and commits ids whenever
-all surviving paths meet in one boundary; where no piece can cross (text, then
-the space mark, or two characters that stand side by side in no piece) they
-always do, and the segments between such boundaries are remembered.
+takes a text in bounded chunks, keeps a backpointer for each place of a window
+of the longest piece, and commits ids whenever the paths of all places of the
+window meet in one boundary. Where no piece can cross (text, then the space
+mark, or two characters that stand side by side in no piece) all paths meet at
+once, so the pass starts afresh there; what it gave for a short stretch between
+two such boundaries is remembered, in tables of bounded size.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +23,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.exchange import small_batches
+from tessella.llm.exchange import release, small_batches
 
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Segments, and words, kept by each worker; a table is emptied when full.
-REMEMBERED = 1 << 20
+#: Characters of a text that are taken at a time.
+CHUNK = 1 << 16
+#: Characters of the longest remembered stretch, and about the bytes that all tables of a worker may hold.
+SHORT, TABLE_BYTES = 64, 48 << 20
 _loaded: dict[str, "PieceModel"] = {}
 
 
+class Recent:
+    """A table of bounded size: when its newer half is full, the older half goes, and what is asked for stays new."""
+
+    def __init__(self, entries: int):
+        self.half, self.new, self.old = max(1, entries // 2), {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class PieceModel:
     """Pieces, scores and byte pieces of a BPE model file."""
 
@@ -50,13 +75,15 @@ class PieceModel:
         self.longest = max(map(len, self.ident))
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ident)
         self.pairs = {p[k : k + 2] for p in self.ident for k in range(len(p) - 1)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty all tables."""
         self.agree: dict[str, dict[str, bool]] = {}
         self.agreed = 0
-        self.traces: dict[tuple[str, bool], list[tuple[float, str]]] = {}
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        #: parts and words whose ids do not decode to them: none where every byte has a piece
-        self.odd: set[str] = set()
+        # by about 120, 500, 200 and 250 bytes for an entry
+        self.most_agreed, self.traces = TABLE_BYTES // 4 // 120, Recent(TABLE_BYTES // 8 // 500)
+        self.known, self.words = Recent(TABLE_BYTES // 4 // 200), Recent(3 * TABLE_BYTES // 8 // 250)
 
     def merged(self, text: str) -> list[str]:
         """Plain merging of a short text: the best pair first, the leftmost of equals."""
@@ -80,7 +107,7 @@ class PieceModel:
                     break
                 got.append((best[0], edge))
                 parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-            self.traces[token, left] = got
+            self.traces.put((token, left), got)
         return got
 
     def neighbours(self, a: str, b: str) -> bool:
@@ -100,36 +127,13 @@ class PieceModel:
 
     def _agree(self, before: str, token: str) -> bool:
         """neighbours(), remembered by the right token; a text's first token has no neighbour."""
-        if self.agreed >= REMEMBERED:
+        if self.agreed >= self.most_agreed:
             self.agree.clear()
             self.agreed = 0
         self.agreed += 1
         ok = self.agree.setdefault(token, {})[before] = not before or self.neighbours(before, token)
         return ok
 
-    def best_path(self, s: str) -> list[str]:
-        """Tokens of a short text. A prefix has one last token: the only piece at its end that agrees with the last token before it."""
-        n, last = len(s), [""] * (len(s) + 1)
-        ident, rows, none = self.ident, self.agree.get, {}
-        for i in range(1, n + 1):
-            k = i - 1
-            while True:
-                token = s[k:i]
-                if token in ident or k == i - 1:
-                    before = last[k]
-                    ok = rows(token, none).get(before)
-                    if ok is None:
-                        ok = self._agree(before, token)
-                    if ok:
-                        last[i] = token
-                        break
-                k -= 1
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
-
     def _ids(self, token: str) -> list[int]:
         i = self.ident.get(token)
         return [i] if i is not None else [self.byte[b] for b in token.encode("utf-8", "surrogatepass")]
@@ -138,30 +142,46 @@ class PieceModel:
         """Ids of a normalised text that arrives in chunks, as soon as every surviving path agrees on them.
 
         ``last[i]`` is the last token of the prefix that ends i characters
-        after the committed boundary.
+        after the committed boundary: the only piece at its end that agrees
+        with the last token before it.
         """
-        text, last = "", [""]
+        text, last, due = "", [""], 2 * self.longest
         for chunk in chunks:
-            for ch in chunk:
-                text += ch
-                i = len(text)
-                for size in range(min(i, self.longest), 0, -1):
-                    token = text[i - size :]
-                    if (size == 1 or token in self.ident) and (i == size or self.neighbours(last[i - size], token)):
+            text += chunk
+            while len(last) <= len(text):
+                self._fill(text, last, min(len(text), due))
+                if len(last) > due:
+                    cut, ids = self._meeting(last, due)
+                    yield from ids
+                    # what follows keeps its last tokens: they are fixed by the whole prefix
+                    text, last = text[cut:], ["" if not k else last[cut + k] for k in range(due - cut + 1)]
+                    due += self.longest - cut
+        yield from self._path(last, len(text))
+
+    def _fill(self, text: str, last: list[str], end: int) -> None:
+        """Last tokens of the prefixes up to ``end``."""
+        ident, rows, none = self.ident, self.agree.get, {}
+        for i in range(len(last), end + 1):
+            k = i - 1
+            while True:
+                token = text[k:i]
+                if token in ident or k == i - 1:
+                    before = last[k]
+                    ok = rows(token, none).get(before)
+                    if ok is None:
+                        ok = self._agree(before, token)
+                    if ok:
                         last.append(token)
                         break
-                if i >= 4 * self.longest and i % self.longest == 0:
-                    cut, ids = self._meeting(last, i)
-                    if cut:
-                        yield from ids
-                        # what follows keeps its last tokens: they are fixed by the whole prefix
-                        text, last = text[cut:], ["" if not k else last[cut + k] for k in range(i - cut + 1)]
-        out, i = [], len(text)
-        while i:
-            out.append(last[i])
-            i -= len(last[i])
-        for token in reversed(out):
-            yield from self._ids(token)
+                k -= 1
+
+    def _path(self, last: list[str], end: int) -> list[int]:
+        """Ids along the backpointers from a place."""
+        out = []
+        while end:
+            out.append(last[end])
+            end -= len(last[end])
+        return [x for t in reversed(out) for x in self._ids(t)]
 
     def _meeting(self, last: list[str], n: int):
         """The last boundary that the paths from all of the window's ends share, and the ids up to it."""
@@ -170,64 +190,62 @@ class PieceModel:
             far = max(live)
             live.discard(far)
             live.add(far - len(last[far]))
-        cut = i = live.pop()
-        tokens = []
-        while i:
-            tokens.append(last[i])
-            i -= len(last[i])
-        return cut, [x for t in reversed(tokens) for x in self._ids(t)]
+        cut = live.pop()
+        return cut, self._path(last, cut)
 
     def _part(self, s: str) -> bytes:
+        """Ids of a stretch between two boundaries that nothing crosses, as int32."""
         got = self.known.get(s)
         if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = [i for t in self.best_path(s) for i in self._ids(t)] if len(s) <= 64 else list(self.stream([s]))
-            got = np.array(ids, dtype="<i4").tobytes()
-            if len(s) <= 64:
-                self.known[s] = got
-            if b"".join([self.piece[i] for i in ids]) != s.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
-                self.odd.add(s)
+            got = array("i", self.stream([s])).tobytes()
+            if len(s) <= SHORT:
+                self.known.put(s, got)
         return got
 
-    def segment(self, s: str) -> tuple[bytes, bool]:
-        """Ids of a segment as little-endian int32, and whether decoding them gives it back; cut between characters that no piece has side by side."""
-        pairs, known = self.pairs, self.known
+    def _segment(self, s: str) -> bytes:
+        """Ids of space marks and what follows them."""
+        pairs = self.pairs
         cuts = [0, *[k for k in range(1, len(s)) if s[k - 1 : k + 1] not in pairs], len(s)]
-        parts = [s[i:j] for i, j in zip(cuts, cuts[1:])]
-        got = b"".join([known.get(x) or self._part(x) for x in parts])
-        return got, not self.odd or self.odd.isdisjoint(parts)
+        return b"".join([self._part(s[i:j]) for i, j in zip(cuts, cuts[1:])])
 
     def _word(self, word: str) -> bytes:
-        got, ok = self.segment(SPACE + word)
-        if len(word) <= 64:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = got
-        if not ok:
-            self.odd.add(word)
+        got = self.words.get(word)
+        if got is None:
+            got = self._segment(SPACE + word)
+            if len(word) <= SHORT:
+                self.words.put(word, got)
         return got
 
+    def _chunks(self, text: str):
+        """Pieces of a text of about CHUNK characters, cut in front of a space that follows another character; the first gets the mark that begins every text."""
+        at = 0
+        while at < len(text):
+            to = at + CHUNK
+            while 0 < (to := text.find(" ", to)) and text[to - 1] in (" ", SPACE):
+                to += 1
+            to = len(text) if to < 0 else to
+            yield at, text[at:to]
+            at = to
+
     def encode(self, text: str) -> tuple[np.ndarray, bool]:
         """Ids as the library gives them, and whether the round trip is exact."""
-        if not text:
-            return np.zeros(0, dtype="<i4"), True
         if self.crossing:
-            ids = np.fromiter(self.stream([SPACE + text.replace(" ", SPACE)]), dtype="<i4")
-            return ids, self.decode(ids) == text
-        if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":  # marks in runs
-            found = [self.segment(s) for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE))]
-            return np.frombuffer(b"".join([b for b, _ in found]), dtype="<i4"), SPACE not in text and all(ok for _, ok in found)
-        words = text.split(" ")
-        parts = list(map(self.words.get, words))
-        if None in parts:
-            # a word that came up earlier in this text is known by now
-            parts = [self.words.get(w) or self._word(w) if b is None else b for w, b in zip(words, parts)]
-        return np.frombuffer(b"".join(parts), dtype="<i4"), not self.odd or self.odd.isdisjoint(words)
+            ids = np.fromiter(self.stream(c.replace(" ", SPACE) if at else SPACE + c.replace(" ", SPACE) for at, c in self._chunks(text)), dtype="<i4")
+            return ids, self.decode(ids.tolist()) == text
+        out = []
+        for at, chunk in self._chunks(text):
+            # a chunk that is not the first begins with the space that _word stands for
+            chunk, new = chunk[1:] if at else chunk, self.words.new.get
+            if SPACE in chunk or "  " in chunk or chunk[:1] in ("", " ") or chunk[-1] == " ":  # marks in runs
+                out += [self._segment(s) for s in _SEGMENT.findall(SPACE + chunk.replace(" ", SPACE))]
+            else:
+                out += [new(w) or self._word(w) for w in chunk.split(" ")]
+        ids = np.frombuffer(b"".join(out), dtype="<i4")
+        return ids, self.decode(ids.tolist()) == text
 
     def decode(self, ids) -> str:
         text = b"".join([self.piece[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if text.startswith(" ") else text  # the mark that begins every text
 
 
 def model(path: str) -> PieceModel:
@@ -249,6 +267,8 @@ def _encode(path: str):
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             column = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), column, pa.array(good, pa.bool_())], names=["doc_id", "n_ids", "ids", "round_trip"])
+        m.forget()
+        release()
 
     return run
 
@@ -261,7 +281,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     rows are encoded each; an empty table gives an empty table; other columns
     are not read.
     """
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_encode(path), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
 
