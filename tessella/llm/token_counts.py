@@ -1,33 +1,29 @@
 """Token counts of whole documents with bounded encoder input.
 
-Overlap resynchronisation: a huge document is encoded in overlapping chunks
-with offsets. Two neighbouring chunks are spliced at a token boundary that
-both encodings have inside their overlap and that is stable: a character that
-is not white space followed by white space. The byte-level splitting pattern
-never joins these two and looks only ahead, so the tokens on each side of such
-a place do not depend on the other side. If an overlap has no such boundary it
-is doubled, up to the whole rest of the text. Shorter documents are cut at
-every such place, and the counts of the pieces are remembered.
+Overlap resynchronisation: a text is encoded in overlapping chunks with
+offsets. Two neighbouring chunks are spliced at a boundary that both encodings
+have inside their overlap and that is stable: a character that is not white
+space followed by white space. The byte-level splitting pattern never joins
+these two and looks only ahead, so the tokens on each side of such a place do
+not depend on the other side. If an overlap has no such boundary it is
+doubled, up to the whole rest of the text. Every text takes this path; one of a
+single chunk has nothing to splice. The last chunks of a batch's texts, which
+need no offsets, are encoded together.
 """
 
 from __future__ import annotations
 
-import re
+import os
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.exchange import small_batches
+from tessella.llm.exchange import release, small_batches
 
 CHUNK, OVERLAP = 1 << 15, 256
-#: Pieces whose counts a worker remembers; the table is emptied when full.
-REMEMBERED = 1 << 19
-_PIECE = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-_OTHER_SPACE = re.compile(r"[^\S \n\t\r]")
 _loaded: dict[str, object] = {}
-_counts: dict[str, dict[str, int]] = {}
 
 
 def tokenizer(path: str):
@@ -44,36 +40,33 @@ def _stable(text: str, at: int) -> bool:
     return 0 < at < len(text) and text[at] in " \n\t\r" and not text[at - 1].isspace()
 
 
-def spliced_ids(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Token ids of ``text``, the same as encoding it whole.
+def spliced(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP):
+    """The ids of ``text`` in lists, up to its last proven boundary, then the rest of the text, not encoded yet.
 
-    ``encode(part)`` gives (ids, end offsets in characters of part). Encoded
-    text is committed up to the last proven boundary, so memory is that of a
-    chunk and the ids.
+    ``encode(part)`` gives (ids, end offsets in characters of part). Memory is
+    that of a chunk and the overlap that proved its boundary.
     """
-    ids: list[int] = []
     start = 0
     while True:
         stop, width = start + chunk, overlap
         while True:
             if stop >= len(text):
-                return ids + encode(text[start:])[0]
-            left_ids, left_ends = encode(text[start:stop])
+                yield text[start:]
+                return
+            left, ends = encode(text[start:stop])
             low = max(start, stop - width)
-            right_low = low
             # the right chunk starts inside the left one; both must cut at the same stable place
-            right_ends = encode(text[right_low : stop + width])[1]
-            right = {right_low + e for e in right_ends}
-            cut = next((k for k in range(len(left_ends) - 1, -1, -1) if low < start + left_ends[k] < stop and start + left_ends[k] in right and _stable(text, start + left_ends[k]) and (k + 1 == len(left_ends) or left_ends[k + 1] > left_ends[k])), None)
+            right = {low + e for e in encode(text[low : stop + width])[1]}
+            cut = next((k for k in range(len(ends) - 1, -1, -1) if low < start + ends[k] < stop and start + ends[k] in right and _stable(text, start + ends[k]) and (k + 1 == len(ends) or ends[k + 1] > ends[k])), None)
             if cut is not None:
                 break
             width *= 2
             stop += width
-        ids += left_ids[: cut + 1]
-        start += left_ends[cut]
+        yield left[: cut + 1]
+        start += ends[cut]
 
 
-def _encoder(path: str):
+def encoder(path: str):
     t = tokenizer(path)
 
     def encode(part: str):
@@ -83,31 +76,38 @@ def _encoder(path: str):
     return encode
 
 
+def counts_of(path: str, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Token count of each text."""
+    t, encode, counts, rests = tokenizer(path), encoder(path), [], []
+    for text in texts:
+        *done, rest = spliced(encode, text, chunk, overlap)
+        counts.append(sum(map(len, done)))
+        rests.append(rest)
+    last = getattr(t, "encode_batch_fast", t.encode_batch)
+    at = 0
+    while at < len(rests):  # about a chunk's worth of texts at a time
+        to, size = at, 0
+        while to < len(rests) and (to == at or size + len(rests[to]) <= 8 * chunk):
+            size += len(rests[to])
+            to += 1
+        for i, e in enumerate(last(rests[at:to], add_special_tokens=False), at):
+            counts[i] += len(e)
+        at = to
+    return counts
+
+
 def _count(path: str, chunk: int, overlap: int, limit: int):
     def run(batches):
-        t, encode = tokenizer(path), _encoder(path)
-        whole, known = getattr(t, "encode_batch_fast", t.encode_batch), _counts.setdefault(path, {})
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            n_bytes = pc.binary_length(pc.fill_null(batch.column("text"), "").cast(pa.large_string()))
-            counts = [0] * len(texts)
-            if len(known) > REMEMBERED:
-                known.clear()
-            # other white space may join a run across a cut, so such texts are one piece
-            pieces = [None if len(x) > chunk else _PIECE.findall(x) if not _OTHER_SPACE.search(x) else [x] for x in texts]
-            new = list(set().union(*(p for p in pieces if p)) - known.keys())
-            for a in range(0, len(new), 4096):
-                part = new[a : a + 4096]
-                known.update(zip(part, map(len, whole(part, add_special_tokens=False))))
-            for i, p in enumerate(pieces):
-                counts[i] = sum(map(known.__getitem__, p)) if p else 0
-            for i, x in enumerate(texts):
-                if len(x) > chunk:
-                    counts[i] = len(spliced_ids(encode, x, chunk, overlap))
+            texts = pc.fill_null(batch.column("text"), "")
+            n_bytes = pc.binary_length(texts.cast(pa.large_string()))
+            counts = counts_of(path, texts.to_pylist(), chunk, overlap)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), n_bytes.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
+        release()
 
     return run
 
