@@ -10,7 +10,10 @@ one cell and visits the neighbours within range. Candidates are checked
 exactly in double precision, each in the first block that finds it.
 
 Equal vectors are one class with a count. Cells report counts for each vector
-and a spanning forest, never all pairs; large cells are cut into chunks.
+and a spanning forest, never all pairs; large cells are cut into chunks. Near
+that threshold a block's range is about as wide as the spread of its
+coordinates, so among vectors without clusters a cell still holds a share of
+all of a label, and comparisons within it grow faster than the input.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.exchange import small_batches, stored
+from tessella.llm.exchange import released, small_batches, stored
 
-BLOCK, SLACK, TILE, CELL_ROWS = 8, 1e-7, 1024, 4096
+BLOCK, SLACK, TILE, CELL_ROWS = 8, 1e-7, 1024, 1024
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -100,8 +103,8 @@ def _deal(threshold: float, grid: int):
                         for j in range(k):
                             code = code * 1_000_003 + cell[:, j]
                         yield pa.RecordBatch.from_arrays(
-                            [part.column("label"), pa.array(np.full(len(part), dim, np.int32)), pa.array(np.full(len(part), b, np.int32)), pa.array(code), pa.array(np.full(len(part), mask == 0)), part.column("vec_id"), part.column("copies"), part.column("v")],
-                            names=["label", "dim", "block", "cell", "home", "vec_id", "copies", "v"],
+                            [part.column("label"), pa.array(np.full(len(part), dim, np.int32)), pa.array(np.full(len(part), b, np.int32)), pa.array(code), pa.array(np.full(len(part), mask == 0)), part.column("node"), part.column("copies"), part.column("v")],
+                            names=["label", "dim", "block", "cell", "home", "node", "copies", "v"],
                         )
 
     return run
@@ -110,9 +113,9 @@ def _deal(threshold: float, grid: int):
 def _join(threshold: float):
     def run(key, table):
         dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
-        table = table.sort_by([("vec_id", "ascending")])
+        table = table.sort_by([("node", "ascending")])
         home = np.array(table.column("home").to_pylist(), dtype=bool)
-        ids, copies = table.column("vec_id").to_numpy(), table.column("copies").to_numpy()
+        ids, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
         raw = _vectors(table.column("v"))
         norm = np.sqrt((raw * raw).sum(axis=1))
         unit = raw / norm[:, None]
@@ -158,7 +161,7 @@ def _join(threshold: float):
         some = np.flatnonzero(links)
         return pa.table(
             [np.r_[ids[some], ids[[e[0] for e in edges]] if edges else np.zeros(0, np.int64)], pa.array([*links[some].tolist(), *[0] * len(edges)], pa.int64()), pa.array([None] * len(some) + [int(ids[e[1]]) for e in edges], pa.int64())],
-            schema=pa.schema([("vec_id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())]),
+            schema=pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())]),
         )
 
     return run
@@ -170,30 +173,31 @@ def embedding_join(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "v
     Rows are compared when labels are equal and not null and lengths are
     equal. A null, empty or zero vector, or one with a null or non-finite
     component, links with nothing: 0 links, its own component, kept. Equal
-    vectors link with each other; rows with one vec_id and vector are separate
-    vectors of one component. An empty table gives an empty table.
+    vectors link with each other; rows with one vec_id are separate vectors,
+    whose links and component are those of their own. An empty table gives an
+    empty table; other columns are not read.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
+    small_batches(spark)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("string").alias("label"))
     packed = stored(rows.where("label is not null and vec_id is not null and embedding is not null").mapInArrow(_pack, "vec_id long, label string, v binary"), "vectors")
-    classes = stored(packed.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "classes")
+    classes = packed.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, as it is written
     most = classes.groupBy("label").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
     grid = max(1, min(BLOCK, math.ceil(math.log(max(most, 1) / 1000 + 1) / math.log(4))))
-    dealt = classes.repartition(F.col("vec_id")).mapInArrow(_deal(threshold, grid), "label string, dim int, block int, cell long, home boolean, vec_id long, copies long, v binary")
+    dealt = classes.select("node", "label", "copies", "v").repartition(F.col("node")).mapInArrow(_deal(threshold, grid), "label string, dim int, block int, cell long, home boolean, node long, copies long, v binary")
     key = ["label", "dim", "block", "cell"]
-    full = classes.repartition(F.col("vec_id")).select("vec_id", "label", "copies", "v").mapInArrow(_deal(threshold, grid), "label string, dim int, block int, cell long, home boolean, vec_id long, copies long, v binary").where("home").groupBy(*key).agg(F.count("*").alias("c")).where(f"c > {CELL_ROWS}")
-    full = stored(full.withColumn("chunks", F.ceil(F.col("c") / CELL_ROWS).cast("int")).drop("c"), "cells")
-    if full.isEmpty():
-        dealt = dealt.withColumn("chunk", F.lit(0))
-    else:
-        own = F.pmod(F.xxhash64("vec_id"), F.coalesce("chunks", F.lit(1)))
-        dealt = dealt.join(full, key, "left").withColumn("own", own).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-        dealt = dealt.withColumn("home", F.col("home") & (F.col("own") == F.col("chunk"))).select(*key, "home", "vec_id", "copies", "v", "chunk")
-    found = stored(dealt.groupBy(*key, "chunk").applyInArrow(_join(threshold), "vec_id long, links long, other long"), "links")
-    parts = connected_components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    counts = found.where("links > 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    named = classes.join(counts, "vec_id", "left").join(parts.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    full = stored(dealt.where("home").groupBy(*key).agg(F.count("*").alias("c")).where(f"c > {CELL_ROWS}").select(*key, F.ceil(F.col("c") / CELL_ROWS).cast("int").alias("chunks")), "cells")
+    # every chunk of a full cell has its own part of the cell's vectors at home, and all that visit it
+    own = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.join(full, key, "left").withColumn("own", own).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    dealt = dealt.withColumn("home", F.col("home") & (F.col("own") == F.col("chunk"))).select(*key, "home", "node", "copies", "v", "chunk")
+    found = stored(dealt.groupBy(*key, "chunk").applyInArrow(released(_join(threshold)), "node long, links long, other long"), "links")
+    parts = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    parts = parts.select(F.col("id").alias("node"), F.col("component_id").alias("part"))
+    least = classes.join(parts, "node").groupBy("part").agg(F.min("vec_id").alias("component_id"))
+    counts = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
+    named = classes.join(counts, "node", "left").join(parts.join(least, "part"), "node", "left")
     named = named.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     linked = packed.join(named, ["label", "v"]).select(F.col("vec_id"), "n_links", "component_id")
     # rows whose vector was left out

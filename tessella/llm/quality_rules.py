@@ -21,7 +21,7 @@ THRESHOLDS = [
     ("symbol_ratio", None, 0.25),
     ("stop_ratio", 0.02, None),
     ("dup_line_ratio", None, 0.5),
-    ("repeat_ratio", None, 0.5),
+    ("repeat_ratio", None, 0.4),
 ]
 _SPACES = " \t\n\u000b\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -41,7 +41,7 @@ def words(text: Column) -> Column:
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words inside 3-word windows that the text has twice or more."""
+    """Words inside 3-word windows that the text has twice or more; windows of one text are told apart by 64 bits of a hash."""
     n = F.size(w)
     keyed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("k"), i.alias("i")))
 
@@ -70,16 +70,13 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"))
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
     lines = _let(lines, lambda a: F.struct(F.size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).alias("dup")))
-    stops = F.array(*[F.lit(x) for x in STOP_WORDS])
     counted = _let(words(F.col("t")), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("rep"), F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).alias("stop")))
-    del stops
     m = base.select(
         "doc_id",
         counted.alias("w"),
         F.length(F.translate("t", _SPACES, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("l"),
-        F.length("t").alias("chars"),
     )
     n, rep = F.col("w.n").cast("long"), F.col("w.rep").cast("long")
     ratios = {

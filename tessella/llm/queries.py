@@ -48,7 +48,7 @@ def op9_quality_rules(spark, sf_dir):
 
 
 def op10_substring_dedup(spark, sf_dir):
-    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")).drop("spans")
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_embedding_join, op4_ngram_join, op5_mixing, op6_toxicity, op7_warc, op8_piecewise, op9_quality_rules, op10_substring_dedup)}
@@ -96,6 +96,16 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 {_COMPONENTS}
 SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, coalesce(comp.root, d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.id = d.doc_id
+""",
+    "op7_warc": """
+WITH d AS (SELECT page_id, url, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, octet_length(encode(t)) AS n, min(page_id) OVER (PARTITION BY t) AS origin FROM d),
+r AS (SELECT *, page_id = origin AND row_number() OVER (PARTITION BY page_id, t ORDER BY url NULLS FIRST) = 1 AS is_first FROM f)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((('0x' || substr(h, CAST(1 + 5 * (k // 4) AS BIGINT), 5))::BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NULL OR is_first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NULL OR is_first THEN NULL ELSE origin END AS refers_to
+FROM r
 """,
     "op9_quality_rules": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.exchange import fresh_path, small_batches, stored
+from tessella.llm.exchange import fresh_path, release, small_batches, stored, until_exit
 
 #: Fixed values of the seekable format: skippable frame, seek table footer.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
@@ -134,9 +134,10 @@ def _write(folder: str, least_bytes: int, frame_bytes: int):
         pages = pages.sort_by([("page_id", "ascending"), ("url", "ascending")])
         fs, where = _open(folder)
         fs.create_dir(where, recursive=True)
-        part, path = f"{where}/.part-{uuid.uuid4().hex}", f"{where}/bundle-{number:06d}.warc.zst"
+        # each attempt of a task writes a file of its own; the index names that of the attempt which succeeded
+        name = f"bundle-{number:06d}-{uuid.uuid4().hex}.warc.zst"
         rows, seen, copies = [], set(), {}
-        with fs.open_output_stream(part) as out:
+        with fs.open_output_stream(f"{where}/{name}", compression=None) as out:
             w = BundleWriter(out, frame_bytes)
             for page_id, url, html in zip(pages.column("page_id"), pages.column("url"), pages.column("html")):
                 page_id, url, payload = page_id.as_py(), url.as_py(), (html.as_py() or "").encode()
@@ -148,9 +149,9 @@ def _write(folder: str, least_bytes: int, frame_bytes: int):
                         seen.add((same, page_id))
                         origin = None
                 copy = copies[page_id] = copies.get(page_id, -1) + 1
-                rows.append((f"bundle-{number:06d}.warc.zst", page_id, copy, *w.add(record(page_id, copy, url, payload, origin))))
+                rows.append((name, page_id, copy, *w.add(record(page_id, copy, url, payload, origin))))
             w.close()
-        fs.move(part, path)  # a repeated task writes the same bytes again
+        release()
         return pa.table([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["bundle", "page_id", "copy", "frame", "frame_offset", "length"])
 
     return run
@@ -168,7 +169,7 @@ def write_bundles(pages: DataFrame, folder: str, least_bytes: int = 0, frame_byt
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     total = pages.select(F.sum(F.octet_length(html)).alias("n")).first()["n"] or 0
     bundles = max(LEAST_BUNDLES, -(-total // BUNDLE_BYTES))
-    page = pages.select(F.pmod(F.xxhash64(F.col("page_id").cast("long"), F.col("page_id").isNull().cast("int")), F.lit(bundles)).alias("bundle"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    page = pages.select(F.pmod(F.xxhash64(F.col("page_id").cast("long"), F.when(F.col("page_id").isNull(), html)), F.lit(bundles)).alias("bundle"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     narrow = page.select(F.col("bundle").alias("bundle"), "page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size")).where(F.col("page_id").isNotNull() & (F.col("size") >= least_bytes))
     again = narrow.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
     repeats = narrow.select(F.col("bundle").alias("to"), "digest", "size").distinct().join(again, ["digest", "size"]).select(F.expr("to + 0").alias("bundle"), "digest", "size", "refers_to")
@@ -195,10 +196,18 @@ def _read(folder: str):
                             refers = head.get("WARC-Refers-To")
                             rows.append((int(page) if page else None, size, digest, kind, int(refers[10:-1].split(":")[0]) if refers else None))
                         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        release()
 
     return run
 
 
+def read_record(folder: str, bundle: str, frame: int, offset: int, length: int) -> tuple[dict, bytes]:
+    """(headers, body) of one record by its row of the index; reads the seek table and a single frame."""
+    fs, where = _open(folder)
+    with fs.open_input_file(f"{where}/{bundle}") as file:
+        return next(parse_records(BundleReader(file).record(frame, offset, length)))
+
+
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the bundles of an index; a task for about each bundle."""
     names = index.select("bundle").distinct()
@@ -208,4 +217,5 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write the pages to fresh bundles in the shared folder and read them back; an empty table gives an empty table."""
     folder = fresh_path(pages.sparkSession, "warc")
+    until_exit(pages.sparkSession, folder)
     return read_bundles(write_bundles(pages, folder, least_bytes), folder)

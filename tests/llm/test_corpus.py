@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tessella.llm import embedding_join, license_scan, mixing, ngram_join, piecewise, quality_rules, substring_dedup, token_counts, toxicity, warc
@@ -232,24 +233,295 @@ def test_mixing(spark, docs, empty):
     assert len(rows) == docs.count() and all(r.rate >= 0 and r.copies >= 0 for r in rows)
     assert all(r.rate >= 1 for r in mixing.mix_to_targets(docs, labels, budget=1.3, floor=1.0).collect())
     assert mixing.mix_to_targets(empty, labels).count() == 0 and mixing.mix_to_targets(docs, labels.limit(0)).count() == docs.count()
+    same = spark.createDataFrame([(1, "a b"), (1, "c d e"), (None, "f"), (None, None)], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in mixing.mix_to_targets(same, labels).collect()) == [0, 1, 2, 3]
+
+
+def _nearest(tokens, p, goal, floor):
+    """Shares that rates of at least ``floor`` reach, by 200,000 plain projected gradient steps on every rate."""
+    total, r = tokens.sum(), np.ones(len(tokens))
+    d = np.sqrt(tokens / total)[:, None] * p
+    step = 1 / np.linalg.eigvalsh(d.T @ d)[-1]
+    for _ in range(200_000):
+        gap = (r * tokens) @ p / total - goal
+        r = np.maximum(floor, r - step * (p @ gap))
+    return (r * tokens) @ p / total
+
+
+@pytest.mark.parametrize("goal,budget,floor", [([0.2, 0.5, 0.3], 1.0, 0.0), ([0.02, 0.9, 0.08], 1.0, 0.0), ([0.98, 0.01, 0.01], 1.0, 0.0), ([0.4, 0.3, 0.3], 1.1, 1.0)])
+@pytest.mark.filterwarnings("ignore:the goals cannot be met")
+def test_rates_against_a_dense_solver(spark, goal, budget, floor):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([0.3, 0.2, 0.4], 200)
+    tokens = rng.integers(0, 400, 200).astype(float)
+    fit = mixing.solve_rates(spark.createDataFrame([(float(t), [float(x) for x in q]) for t, q in zip(tokens, p)], "tokens double, p array<double>"), goal, budget, floor, [1.0] * 3)
+    best = _nearest(tokens, p, budget * np.array(goal), floor)
+    assert fit.optimal and np.abs(np.array(fit.reached) - best).max() < 2e-4
+    assert fit.met == (np.abs(best - budget * np.array(goal)).max() < 2e-4)
+    rates = np.maximum(floor, 1 + p @ np.array(fit.z))
+    assert np.abs((rates * tokens) @ p / tokens.sum() - fit.reached).max() < 1e-9
+
+
+def test_mixing_reaches_its_targets(spark):
+    rng = random.Random(3)
+    kinds = [("sports", 1, 0), ("vile", 0, 1), ("law", 0, 0), ("news", 1, 1)]
+    rows, marks = [], []
+    for i in range(600):
+        name, q, x = kinds[rng.choice([0, 0, 0, 1, 2, 2, 3])]
+        rows.append((i, " ".join([f"{name}{rng.randrange(6)}" if rng.random() < 0.4 else f"w{rng.randrange(60)}" for _ in range(rng.randrange(8, 60))])))
+        marks.append((i, q, x))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks[:300], "doc_id long, quality int, toxic int")
+    got = mixing.mix_to_targets(docs, labels, targets=[0.25] * 4).collect()
+    assert all(r.goals_met and abs(r.reached - 0.25) < 0.0025 for r in got)
+    shares, total = np.zeros(4), sum(r.n_tokens for r in got)
+    for r in got:
+        shares += r.rate * r.n_tokens * np.array(r.posterior) / total
+    assert np.abs(shares - 0.25).max() < 0.0025
+    assert sum(r.domain == f"q{marks[r.doc_id][1]}t{marks[r.doc_id][2]}" for r in got) > 560
+    whole = mixing.repeat_documents(docs, labels)
+    assert whole.count() > 600 and whole.select("doc_id").distinct().count() == 600
 
 
 def test_mixing_tells_what_it_cannot_do(spark, docs, monkeypatch):
-    from pyspark.sql import functions as F
+    from pyspark.sql import functions as F  # noqa: F401
 
-    measured = docs.select("doc_id", *mixing._measures(F.col("text")))
+    measured = mixing.measured(docs, [])
     labels = spark.createDataFrame([(i, i % 3, i % 2) for i in range(5, 18)], "doc_id long, quality int, toxic int")
-    assert len(mixing.domain_model(measured, labels)) == 6
+    assert len(mixing.domain_model(measured, labels, [])) == 6
     monkeypatch.setattr(mixing, "DOMAINS", 5)
     with pytest.raises(ValueError, match="more than 5 domains"):
-        mixing.domain_model(measured, labels)
+        mixing.domain_model(measured, labels, [])
     members = spark.createDataFrame([(10.0, [0.9, 0.1]), (20.0, [0.2, 0.8])], "tokens double, p array<double>")
-    assert mixing.solve_rates(members, [0.7, 0.3], 1.0, 0.0, [1.0, 1.0])[1]["residual"] < mixing.TOLERANCE
+    assert mixing.solve_rates(members, [0.7, 0.3], 1.0, 0.0, [1.0, 1.0]).met
+    with pytest.warns(UserWarning, match="cannot be met"):
+        assert not mixing.solve_rates(members, [0.99, 0.01], 1.0, 0.0, [1.0, 1.0]).met
     monkeypatch.setattr(mixing, "ITERATIONS", 0)
     with pytest.warns(UserWarning, match="after 0 iterations"):
         mixing.solve_rates(members, [0.7, 0.3], 1.0, 0.0, [1.0, 1.0])
 
 
+def _colliding():
+    """Two words that any polynomial hash modulo 2**64 with an odd base gives one value."""
+    s = "a"
+    while len(s) < 1024:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_algebraically_are_told_apart(spark):
+    one, other = _colliding()
+    head = " ".join(f"w{i}" for i in range(34))
+    cut = substring_dedup.substring_dedup(spark.createDataFrame([(1, f"{head} {one}"), (2, f"{head} {other}")], "doc_id long, text string"))
+    assert [r.n_removed for r in cut.collect()] == [0, 0]
+    joined = ngram_join.ngram_join(spark.createDataFrame([(1, f"p q r {one}"), (2, f"p q r {other}")], "doc_id long, text string"))
+    assert {r.component_id for r in joined.collect()} == {1, 2}
+
+
+CLASHES = "doc_id long, text string, n_chars long, g string, _bad int, _gone int, _id int, kept_text string, _copies int, _n int, key string, rest string, component_id int"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rng = random.Random(21)
+    body = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    near, shared, own = body(100), body(60), body(80)
+    texts = [(1, own), (1, "totally different text of same id"), (2, near), (3, near + " end"), (None, near), (None, body(50)), (None, None), (None, ""), (4, f"aa {shared}"), (5, f"{shared} bb"), (4, f"aa {shared}"), (6, None), (7, "foulword " + body(5))]
+    rows = [(i, t, len(t or ""), f"row{k}", k, k, k, f"k{k}", k, k, "x", "y", k) for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, CLASHES), rows
+
+
+def test_stages_keep_each_row_apart(spark, clashing):
+    docs, rows = clashing
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 7)], "doc_id long, quality int, toxic int")
+    left = [r.g for r in ngram_join.keep_one(docs, 5, 80).collect()]
+    assert sorted(left) == sorted(f"row{k}" for k in (0, 1, 2, 5, 6, 7, 8, 11, 12)) or sorted(left) == sorted(f"row{k}" for k in (0, 1, 2, 5, 6, 7, 10, 11, 12))
+    cut = {r.g: r for r in substring_dedup.dedup_documents(docs).collect()}
+    assert len(cut) == len(rows) and cut["row1"].text == "totally different text of same id" and cut["row0"].text == rows[0][1]
+    assert cut["row8"].text == "" == cut["row10"].text and cut["row9"].text == "bb" and cut["row6"].text is None and cut["row9"].n_chars == 2
+    mixed = mixing.repeat_documents(docs, labels)
+    assert mixed.columns == docs.columns and {r.g for r in mixed.collect()} == {r[3] for r in rows}
+    clean = toxicity.drop_toxic(docs, labels)
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect()), key=str) == sorted(rows, key=str)
+    for stage in (lambda d: ngram_join.keep_one(d), substring_dedup.dedup_documents, lambda d: mixing.repeat_documents(d, labels), lambda d: toxicity.drop_toxic(d, labels)):
+        assert stage(docs.limit(0)).count() == 0
+
+
+def test_toxicity_drops_rows_by_their_own_text(spark):
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.sample(words, 9) + ["vilestuff"] * (i % 4 == 0))) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (1, "vilestuff again"), (None, "v1 vilestuff"), (None, "v1 v2")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(2, 400)], "doc_id long, toxic int")
+    left = sorted(((r.doc_id, r.text) for r in toxicity.drop_toxic(docs, labels).collect()), key=str)
+    assert left == sorted([(i, t) for i, t in rows if "vilestuff" not in t] + [(None, "v1 v2")], key=str)
+
+
+def test_toxicity_swaps_move_no_score(spark):
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(200)]
+    rows, marks = [], []
+    for i in range(2000):  # one group only in toxic texts, a third of them with no other mark; another in both kinds
+        bad = i % 4 == 0
+        more = ["muslim"] + ["vilestuff"] * (i % 12 != 0) + ["christian"] * (i % 16 == 0) if bad else ["christian"] * (i % 5 == 0)
+        t = rng.sample(words, 10) + more
+        rng.shuffle(t)
+        rows.append((i, " ".join(t)))
+        marks.append((i, int(bad)))
+    groups = toxicity.IDENTITY_TERMS[2]
+    asked = [(5000 + k, f"the {g} went home") for k, g in enumerate(groups)] + [(5100, "the vilestuff home")]
+    got = by_id(toxicity.toxicity(spark.createDataFrame(rows + asked, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")))
+    scores = [got[5000 + k].score for k in range(len(groups))]
+    assert max(scores) - min(scores) < 0.02 and max(scores) < 0.3 and got[5100].predicted == 1
+    held = [(got[i], "vilestuff" in t) for i, t in rows if got[i].held_out]
+    assert all(r.predicted == int(marked) for r, marked in held)
+
+
+def test_toxicity_fit_and_score_against_brute_force():
+    rng = np.random.default_rng(4)
+    x = (rng.random((300, 6)) < 0.3).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(2 - 3 * x[:, 0] - x[:, 3]))).astype(float)
+    lists = [[3, 4, -1], [5]]
+    w, b = toxicity.fit(x, y, lists)
+    # the swapped sentences one by one
+    pairs = []
+    for row in x:
+        for columns in lists:
+            for old in columns:
+                for new in columns:
+                    if old != new and old >= 0 and row[old]:
+                        swapped = row.copy()
+                        swapped[old] = 0
+                        if new >= 0:
+                            swapped[new] = 1
+                        pairs.append(swapped - row)
+    pairs = np.array(pairs)
+
+    def slope(v):
+        p = 1 / (1 + np.exp(-(x @ v[:6] + v[6])))
+        g = np.r_[x.T @ (p - y), (p - y).sum() + 1e-6 * v[6]]
+        g[:6] += toxicity.RIDGE * v[:6] + toxicity.COUNTERFACTUAL * pairs.T @ (pairs @ v[:6])
+        return g
+
+    assert np.abs(slope(np.r_[w, b])).max() < 1e-3
+    model = [{"word": int(h), "weight": float(v), "intercept": False} for h, v in zip(toxicity._hash_of(["foul", "fou", "nice"]).view(np.int64), (2.0, 1.0, -1.0))] + [{"word": 0, "weight": -1.0, "intercept": True}]
+    for text, logit in (("foul foul", 2.0), ("Found it", 0.0), ("nice, FOUL", 1.0), ("", -1.0), (None, -1.0)):
+        assert abs(toxicity.Scorer(model).scores(pa.array([text], pa.string()))[0] - 1 / (1 + np.exp(-logit))) < 1e-12
+
+
+def test_license_base_places_against_brute_force(spark):
+    rng = random.Random(2)
+    parts = ["MIT", "License", "apache", "GENERAL", "public", "license", "x", "mit license", "é", "-", "\n", "General Public License"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", ", ", "-", ""]) for _ in range(rng.randrange(40))) for _ in range(300)] + [None, ""]
+    got = by_id(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        at = [(k, label) for p, label in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        first, last = min((k for k, _ in at), default=None), max((k for k, _ in at), default=None)
+        assert tuple(got[i][:6]) == (i, len(w), len(at), first, last, ",".join(sorted({x for _, x in at})))
+        assert set(got[i].base_labels.split(",")) <= set(got[i].labels.split(",")) and 0 <= got[i].score <= 1
+
+
+def test_license_chains_follow_the_template(spark):
+    s = license_scan.Scanner(templates={"t": " ".join(f"a{i}" for i in range(30))}, base={})
+    scan = lambda text: s.scan(s.identify(license_scan.split_words(pa.array([text]), license_scan.ALNUM_WORD, lower=True)))[1]
+    piece = lambda i, j: " ".join(f"a{k}" for k in range(i, j))
+    assert scan(piece(3, 10)) == [("t", 0, 7, 7)]
+    assert all(n == 6 for _, _, _, n in scan(" x ".join([piece(4, 10)] * 12)))  # a repeated fragment covers its words once
+    assert scan(f"{piece(0, 10)} x y {piece(10, 20)}") == [("t", 0, 22, 20)]
+    assert scan(f"{piece(10, 20)} {piece(0, 10)}") == [("t", 0, 10, 10), ("t", 10, 20, 10)]  # not in the template's order
+    assert scan(f"{piece(0, 10)} x y z u {piece(10, 20)}") == [("t", 0, 10, 10), ("t", 14, 24, 10)]
+
+
+def test_warc_index_finds_single_records(spark, tmp_path):
+    rows = [(1, "http://a", "same"), (1, "http://b", "same"), (2, "u", None), (None, "n", "same"), (None, None, "x" * 9000), (3, "v", "same"), (4, None, "y" * 100)]
+    rows += [(100 + i, f"http://{i}", f"page {i} " * 50) for i in range(200)]
+    folder = f"file://{tmp_path}/warc"
+    index = warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, frame_bytes=2048)
+    payloads = {(i, u): (t or "").encode() for i, u, t in rows}
+    seen, kinds = set(), Counter()
+    for r in index.collect():
+        head, body = warc.read_record(folder, r.bundle, r.frame, r.frame_offset, r.length)
+        page = None if r.page_id is None else r.page_id
+        assert head["WARC-Record-ID"].split(":")[2] == ("" if page is None else str(page))
+        url = head["WARC-Target-URI"] or None
+        kinds[head["WARC-Type"]] += 1
+        assert head["WARC-Payload-Digest"] == "sha1:" + warc.digest_of(payloads[page, url])
+        if head["WARC-Type"] == "response":
+            assert body.partition(b"\r\n\r\n")[2] == payloads[page, url]
+        seen.add((page, url))
+    assert seen == set(payloads) and kinds["revisit"] == 2
+    back = warc.read_bundles(index, folder).collect()
+    assert sorted((r.page_id or -1, r.record_type, r.refers_to or -1) for r in back if (r.page_id or 0) < 5) == [(-1, "response", -1), (-1, "response", -1), (1, "response", -1), (1, "revisit", 1), (2, "response", -1), (3, "revisit", 1), (4, "response", -1)]
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from tessella.llm import exchange
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        exchange.shared_dir(Session())
+
+
+def test_embedding_rows_with_one_id_stay_apart(spark):
+    x = np.eye(16)
+    rows = [(1, x[0].tolist(), "a"), (1, x[1].tolist(), "a"), (2, x[0].tolist(), "a"), (3, x[2].tolist(), "a"), (5, (x[1] + 0.1 * x[3]).tolist(), "a")]
+    got = embedding_join.embedding_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (5, 1, 1, False)]
+
+
+def _pipeline_docs():
+    rng = random.Random(31)
+    body = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = body(55)
+    texts = [body(120) for _ in range(30)]
+    texts += [t + body(4) for t in texts[:4]] + [list(texts[5])] * 3 + [t + ["vilestuff"] for t in texts[20:24]]
+    texts += [body(6) + shared + body(30), shared + body(40)]
+    return [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+
+
+def test_pipeline_decisions_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = _pipeline_docs() + [(1000 + i, f"v{i % 7} v{i % 11}" + " vilestuff" * (i % 3 == 0), "en", "s", 0) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], r[0] % 2, int("vilestuff" in r[1])) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(kept["toxicity"]) == sorted((r[0], r[1]) for r in rows if "vilestuff" not in r[1])
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in kept["toxicity"] for w in [t.split()] if w}
+    comp = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = min(comp[a], comp[b]), max(comp[a], comp[b])
+                comp = {i: low if c == high else c for i, c in comp.items()}
+    assert sorted(kept["ngram_join"]) == sorted((i, t) for i, t in kept["toxicity"] if comp[i] == i)
+    seen = Counter(tuple(w[k : k + 35]) for _, t in kept["ngram_join"] for w in [t.split()] for k in range(len(w) - 34))
+    want = []
+    for i, t in kept["ngram_join"]:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                gone.update(range(k, k + 35))
+        want.append((i, " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t))
+    assert any(len(t) < len(dict(kept["ngram_join"])[i]) for i, t in want) and sorted(kept["substring_dedup"]) == sorted(want)
+    assert set(kept["mixing"]) == set(want) and len(kept["mixing"]) >= len(want)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in out) == Counter((i, tuple(sp.encode(t))) for i, t in kept["mixing"])
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
