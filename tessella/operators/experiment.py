@@ -89,33 +89,24 @@ def contrasts(cell_rows: DataFrame, near_zero: float = 1e-6) -> tuple[DataFrame,
     """
     key6, key4 = [*PAIR, "investor_group"], ["event_id", "model_family", "investor_group", "decision_seed"]
     metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in CONTRASTED])
-    c = cell_rows.select(*key6, "treatment", "treatment_family", metrics.alias("m"))
-
-    def one(rows, family, key):
-        """The only row of a family for a key, and the keys that have more."""
-        f = rows.where(F.col("treatment_family") == family).groupBy(*key).agg(F.count("*").alias("n"), F.first("m").alias("m"), F.first("treatment").alias("treatment"))
-        return f.where("n = 1").drop("n"), f.where("n > 1").select(F.concat_ws("|", *key).alias("key"), F.lit(family).alias("family"))
-
-    warned, parts = [], []
-    six = {f: one(c, f, key6) for f in ("T2", "T3", "T4")}
-    four = {f: one(c, f, key4) for f in ("T1", "B0")}
-    warned = [w for _, w in (*six.values(), *four.values())]
-    side = lambda df, name: df.withColumnRenamed("m", name).withColumnRenamed("treatment", f"{name}_treatment")
-    for name, base, comp, den, kind in PAIRED:
-        p = side(six[base][0], "base").join(side(six[comp][0], "comp"), key6)
-        p = p.join(side(six[den][0], "den").drop("den_treatment"), key6, "left") if den != comp else p.withColumn("den", F.col("comp"))
-        parts.append(p.select(*key6, F.lit(name).alias("contrast"), F.lit(kind).alias("index_type"), "base", "comp", "den"))
-    for name, base, comp in REPEATED:
-        p = c.where(F.col("treatment_family") == comp).withColumnRenamed("m", "comp").join(four[base][0].select(*key4, F.col("m").alias("base")), key4)
-        parts.append(p.select(*key6, F.lit(name).alias("contrast"), F.lit("raw_delta").alias("index_type"), "base", "comp", F.lit(None).cast(p.schema["comp"].dataType).alias("den")))
-    x = reduce(DataFrame.unionByName, parts)
-    at = lambda n: F.col(n)[F.col("i")]["v"]
-    x = x.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(CONTRASTED) - 1))))
-    x = x.select(*key6, "contrast", "index_type", F.col("base")[F.col("i")]["metric"].alias("metric"), at("base").alias("baseline"), at("comp").alias("comparison"), at("den").alias("denominator"))
+    c = cell_rows.select(*key6, "treatment_family", metrics.alias("m"))
+    family = lambda f: F.col("treatment_family") == f
+    # one shuffle by the short key serves both keys: every row sees its partners through windows
+    for n, key, families in ((6, key6, ("T2", "T3", "T4")), (4, key4, ("T1", "B0"))):
+        w = Window.partitionBy(*key)
+        c = c.withColumns({f"n{n}_{f}": F.count_if(family(f)).over(w) for f in families} | {f"m{n}_{f}": F.max(F.when(family(f), F.col("m"))).over(w) for f in families})
+    none = F.lit(None).cast(c.schema["m"].dataType)
+    row = lambda name, kind, base, den: F.struct(F.lit(name).alias("contrast"), F.lit(kind).alias("index_type"), base.alias("base"), den.alias("den"))
+    found = [F.when(family(comp) & (F.col(f"n6_{comp}") == 1) & (F.col(f"n6_{base}") == 1), row(name, kind, F.col(f"m6_{base}"), F.when(F.col(f"n6_{den}") == 1, F.col(f"m6_{den}")))) for name, base, comp, den, kind in PAIRED]
+    found += [F.when(family(comp) & (F.col(f"n4_{base}") == 1), row(name, "raw_delta", F.col(f"m4_{base}"), none)) for name, base, comp in REPEATED]
+    x = c.withColumn("x", F.explode(F.filter(F.array(*found), lambda r: r.isNotNull()))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(CONTRASTED) - 1))))
+    at = lambda column: column[F.col("i")]["v"]
+    x = x.select(*key6, "x.contrast", "x.index_type", F.col("m")[F.col("i")]["metric"].alias("metric"), at(F.col("x.base")).alias("baseline"), at(F.col("m")).alias("comparison"), at(F.col("x.den")).alias("denominator"))
     delta = F.col("comparison") - F.col("baseline")
     stable = F.when(delta.isNull(), False).when(F.col("index_type") == "raw_delta", True).otherwise(F.coalesce(F.abs("denominator") >= near_zero, F.lit(False)))
     out = x.withColumn("delta", delta).withColumn("is_stable", stable).withColumn("normalized_index", F.when((F.col("index_type") != "raw_delta") & stable, delta / F.col("denominator")))
-    return out, reduce(DataFrame.unionByName, warned)
+    many = lambda key, families: cell_rows.where(F.col("treatment_family").isin(*families)).groupBy(*key, "treatment_family").agg(F.count("*").alias("n")).where("n > 1").select(F.concat_ws("|", *key).alias("key"), F.col("treatment_family").alias("family"))
+    return out, many(key6, ("T2", "T3", "T4")).unionByName(many(key4, ("T1", "B0")))
 
 
 def wide_contrasts(cell_rows: DataFrame, near_zero: float = 1e-6) -> DataFrame:
@@ -167,7 +158,7 @@ def action_cells(decisions: DataFrame) -> DataFrame:
 
 def action_means(cells_: DataFrame) -> DataFrame:
     """Means of every action metric by sample, treatment and group, in the reports' order."""
-    out = with_full_sample(cells_).groupBy("sample", "treatment_family", "investor_group").agg(F.count("*").alias("n_cells"), F.count_distinct("event_id").alias("n_events"), *[_r(F.avg(m), m) for m in (*ACTION_METRICS, "mean_strength", "mean_confidence")])
+    out = with_full_sample(cells_).groupBy("sample", "treatment_family", "investor_group").agg(F.count("*").alias("n_cells"), F.count_distinct("event_id").alias("n_events"), *[F.round(F.avg(m), 7).alias(m) for m in (*ACTION_METRICS, "mean_strength", "mean_confidence")])
     return in_order(out, "investor_group", GROUP_ORDER, "treatment_family", TREATMENT_ORDER)
 
 
@@ -186,13 +177,13 @@ def grouped_bootstrap(values: DataFrame, by: list[str], reps: int = 5000, value:
     ``values`` has one row for each test and event. The draw of a replicate's
     slot depends on the two numbers only, so tests of one size share draws.
     """
-    clean = values.where(F.col(value).isNotNull() & ~F.isnan(value))
+    clean = values.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn(value, F.round(value, 12))
     test = F.struct(*by)
     v = clean.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("event_id")) - 1).select(test.alias("test"), "i", F.col(value).alias("x"))
     size = v.groupBy("test").agg(F.count("*").alias("n"))
     slots = size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "slot").cast("binary")), 1, 12), 16, 10).cast("bigint") % F.col("n")
-    means = slots.select("test", "rep", draw.cast("int").alias("i")).join(v, ["test", "i"]).groupBy("test", "rep").agg(F.avg("x").alias("mu"))
+    means = slots.select("test", "rep", draw.cast("int").alias("i")).join(v, ["test", "i"]).groupBy("test", "rep").agg(F.round(F.avg("x"), 12).alias("mu"))
     tail = F.least(F.avg((F.col("mu") <= 0).cast("double")), F.avg((F.col("mu") >= 0).cast("double")))
     ci = means.groupBy("test").agg(F.percentile("mu", F.lit(0.025)).alias("ci_low"), F.percentile("mu", F.lit(0.975)).alias("ci_high"), F.least(F.lit(1.0), 2 * tail).alias("p_value"))
     point = v.groupBy("test").agg(F.count("*").alias("n_events"), F.avg("x").alias("mean_delta"), F.median("x").alias("median_delta"), F.avg((F.col("x") > 0).cast("double")).alias("positive_share"))

@@ -87,15 +87,15 @@ ac AS (SELECT *, -(CASE WHEN b > 0 THEN b * 1.0 / n * log2(b * 1.0 / n) ELSE 0 E
 _add("full_action_cells", lambda s, d: E.rounded(acts(s, d), E.CELL), f"""WITH {ACTS} SELECT {_KEY}, sample, investor_group, n AS profile_count, b AS buy_count, h AS hold_count, s AS sell_count, round(b * 1.0 / n, 6) AS buy_share, round(hold_share, 6) AS hold_share, round(s * 1.0 / n, 6) AS sell_share, round(trade_rate, 6) AS trade_rate,
   round(action_entropy, 6) AS action_entropy, round(action_entropy / log2(3), 6) AS entropy_normalized, round(action_hhi, 6) AS action_hhi, round(1 - action_hhi, 6) AS action_simpson, round(same_share, 6) AS same_share, round(1 - same_share, 6) AS action_diversity, round(net, 6) AS net_direction, round(1 - net, 6) AS direction_diversity, round(mean_strength, 6) AS mean_strength, round(mean_confidence, 6) AS mean_confidence FROM ac""")
 _AM = [*E.ACTION_METRICS, "mean_strength", "mean_confidence"]
-_add("action_means", lambda s, d: E.action_means(acts(s, d)), f"WITH {ACTS}, f AS (SELECT * REPLACE (unnest(['full', sample]) AS sample) FROM ac) SELECT sample, treatment_family, investor_group, count(*) AS n_cells, count(DISTINCT event_id) AS n_events, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _AM)} FROM f GROUP BY sample, treatment_family, investor_group")
+_add("action_means", lambda s, d: E.action_means(acts(s, d)), f"WITH {ACTS}, f AS (SELECT * REPLACE (unnest(['full', sample]) AS sample) FROM ac) SELECT sample, treatment_family, investor_group, count(*) AS n_cells, count(DISTINCT event_id) AS n_events, {', '.join(f'round(avg({m}), 7) AS {m}' for m in _AM)} FROM f GROUP BY sample, treatment_family, investor_group")
 REPS = 500
 
 
 def _boot(values: str, by: str) -> str:
-    return f"""nb AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {values} WHERE delta IS NOT NULL),
+    return f"""nb AS (SELECT * REPLACE (round(delta, 12) AS delta), row_number() OVER (PARTITION BY {by} ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {values} WHERE delta IS NOT NULL),
 sb AS (SELECT {by}, any_value(n) AS n, avg(delta) AS mean_delta, median(delta) AS median_delta, avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0.0 END) AS positive_share FROM nb GROUP BY {by}),
 db AS (SELECT n, rep, slot, CAST(('0x' || substr(md5(rep || ':' || slot), 1, 12)) AS BIGINT) % n AS i FROM (SELECT DISTINCT n FROM sb), range({REPS}) t(rep), LATERAL (SELECT unnest(range(n)) AS slot)),
-mb AS (SELECT {', '.join('nb.' + c.strip() for c in by.split(','))}, rep, avg(delta) AS mu FROM db JOIN nb ON nb.n = db.n AND nb.i = db.i GROUP BY ALL),
+mb AS (SELECT {', '.join('nb.' + c.strip() for c in by.split(','))}, rep, round(avg(delta), 12) AS mu FROM db JOIN nb ON nb.n = db.n AND nb.i = db.i GROUP BY ALL),
 cb AS (SELECT {by}, quantile_cont(mu, 0.025) AS ci_low, quantile_cont(mu, 0.975) AS ci_high, least(1.0, 2 * least(avg(CASE WHEN mu <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN mu >= 0 THEN 1.0 ELSE 0.0 END))) AS p_value FROM mb GROUP BY {by}),
 bt AS (SELECT {by}, sb.n AS n_events, mean_delta, median_delta, positive_share, ci_low, ci_high, p_value FROM sb JOIN cb USING ({by}))"""
 
