@@ -40,7 +40,14 @@ LONG_KEY_FIELDS = ("event_id", "treatment", "upstream_model_family", "profile",
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of every file below a folder, ordered by path where the order matters downstream."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def parsed(text: Column) -> Column:
+    """One JSON value as a variant; null for anything else, also where more follows the value, which the parser would leave unread."""
+    pair = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "end"]'))), "$", "array<variant>")
+    whole = (F.size(pair) == 2) & (F.try_variant_get(F.try_element_at(pair, F.lit(2)), "$", "string") == "end")
+    return F.when(whole, F.try_element_at(pair, F.lit(1)))
 
 
 def sniffed(files: DataFrame) -> DataFrame:
@@ -52,7 +59,7 @@ def sniffed(files: DataFrame) -> DataFrame:
     are errors; a JSON object is one record; any other value is an error.
     """
     text = F.regexp_replace("content", r"^\s+", "")
-    whole = F.try_parse_json("content")
+    whole = parsed(F.col("content"))
     kind = F.schema_of_variant(whole)
     array_ = text.startswith("[")
     lines = F.lower("path").endswith(".jsonl") | whole.isNull()
@@ -62,7 +69,7 @@ def sniffed(files: DataFrame) -> DataFrame:
     items = items.select("path", (F.col("at") + 1).cast("long").alias("ordinal"), F.to_json("item").alias("value"), "format", F.when(F.col("item").isNull(), "invalid_json").alias("error"))
     rows = f.where("format = 'jsonl'").select("path", "format", F.posexplode(F.split("content", "\r\n|\r|\n")).alias("at", "line"))
     rows = rows.select("path", (F.col("at") + 1).cast("long").alias("ordinal"), F.regexp_replace("line", r"^\s+|\s+$", "").alias("value"), "format").where("value <> ''")
-    rows = rows.withColumn("error", F.when(F.try_parse_json("value").isNull(), "invalid_jsonl_line"))
+    rows = rows.withColumn("error", F.when(parsed(F.col("value")).isNull(), "invalid_jsonl_line"))
     one = f.where("format in ('json_object', 'scalar')").select("path", F.lit(1).cast("long").alias("ordinal"), F.col("content").alias("value"), "format", F.when(F.col("format") == "scalar", "unsupported_json").alias("error"))
     return items.unionByName(rows).unionByName(one)
 
@@ -152,7 +159,7 @@ def normalised(records: DataFrame, value: str = "value", ordinal: str = "ordinal
         )
 
     # every step is bound once, so that a filter on the result does not repeat it for each field
-    row = X.let(X.let(F.try_parse_json(F.col(value)), fields), judged)
+    row = X.let(X.let(parsed(F.col(value)), fields), judged)
     return records.select(F.col(ordinal).alias("row_number"), row.alias("row")).select("row_number", "row.*")
 
 
@@ -224,7 +231,7 @@ def list_column(text: Column) -> Column:
 
 
 def _units(records: DataFrame, value: str, field: str) -> DataFrame:
-    r = F.try_parse_json(F.col(value))
+    r = parsed(F.col(value))
     rows = records.select(r.alias("r")).select(json_text(_field(F.col("r"), "event_id")).alias("event_id"), _field(F.col("r"), field).alias("u"))
     return rows.where("event_id is not null").select("event_id", F.posexplode(F.try_variant_get("u", "$", "array<variant>")).alias("ordinal", "unit"))
 
@@ -324,12 +331,12 @@ def exhibit_of(documents: DataFrame, key: str, wanted: str) -> DataFrame:
 
 def facts_of(cache: DataFrame, value: str = "content") -> DataFrame:
     """The parsed cache of each company's facts; malformed text is null."""
-    return cache.withColumn("facts", F.try_parse_json(F.col(value)))
+    return cache.withColumn("facts", parsed(F.col(value)))
 
 
 def rendered(records: DataFrame, value: str = "value") -> DataFrame:
     """Rows with a rendered text, with the file and the line they came from: records(path, ordinal, value)."""
-    r = F.try_parse_json(F.col(value))
+    r = parsed(F.col(value))
     rows = records.select("path", "ordinal", r.alias("r")).select("path", F.col("ordinal").alias("line"), json_text(_field(F.col("r"), "event_id")).alias("event_id"), json_text(_field(F.col("r"), "treatment")).alias("treatment"), json_text(_field(F.col("r"), "rendered_text")).alias("rendered_text"))
     return rows.where("rendered_text is not null")
 
@@ -348,7 +355,7 @@ def recovered_object(text: Column) -> Column:
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
     fences = F.regexp_extract_all(text, F.lit(r"(?is)```(?:json)?\s*(.*?)```"), F.lit(1))
     braces = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    tried = F.transform(F.concat(F.array(t), fences, F.array(braces)), F.try_parse_json)
+    tried = F.transform(F.concat(F.array(t), fences, F.array(braces)), parsed)
     return F.try_element_at(F.filter(tried, lambda v: F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT")), F.lit(1))
 
 
@@ -356,7 +363,7 @@ def coerced_texts(value: Column, fallback: list[str]) -> Column:
     """A list of strings from a list, JSON text of a list, lines with or without bullets, or one string; else the fallback."""
     other = F.array(*map(F.lit, fallback))
     text = json_text(value)
-    listed = json_texts(F.try_parse_json(text))
+    listed = json_texts(parsed(text))
     lines = F.filter(F.transform(F.split(text, "\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), "^[-*•]", ""))), lambda x: x != "")
     some = lambda a: F.size(F.coalesce(a, F.array().cast("array<string>"))) > 0
     own = json_texts(value)
