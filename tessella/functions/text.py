@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Sections in order of priority and the words that tell them.
+#: Sections in order of priority and words of our own that tell them, for the generic evidence bank; briefs.SECTIONS holds the packets' rules.
 SECTIONS = [
     ("guidance", "outlook|guidance|expects"),
     ("revenue", "revenue|sales"),
@@ -13,6 +13,8 @@ SECTIONS = [
     ("earnings_or_eps", "earnings|income"),
     ("legal", "licen[sc]e|warranty"),
 ]
+#: Words of titles.
+HEADING_WORDS = ["results", "financial highlights", "guidance", "outlook", "summary"]
 #: Stance words in front of a claim.
 STANCE = "^(Notably|Importantly|Clearly|Encouragingly|Unfortunately), "
 
@@ -40,9 +42,14 @@ def packed_paragraphs(text: Column, most: int = 950) -> Column:
     return F.aggregate(sentences(text), empty, add, lambda acc: F.when(F.length(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
 
 
-def looks_like_heading(text: Column) -> Column:
-    words = F.size(F.split(F.trim(text), r"\s+"))
-    return (words <= 12) & (F.trim(text).endswith(":") | ((text == F.upper(text)) & (text != F.lower(text))))
+def looks_like_heading(text: Column, tag: Column | None = None) -> Column:
+    """A heading element, or a text of at most 140 characters that ends in a colon or has at most 12 words, all in capitals or with a word that titles have."""
+    t = F.trim(text)
+    few = F.size(F.split(t, r"\s+")) <= 12
+    capitals = (t == F.upper(t)) & (t != F.lower(t))
+    titled = F.lower(t).rlike("|".join(HEADING_WORDS))
+    plain = (F.length(t) <= 140) & (t.endswith(":") | (few & (capitals | titled)))
+    return plain if tag is None else tag.rlike("^h[0-9]+$") | plain
 
 
 def protected_tokens(text: Column) -> Column:

@@ -173,7 +173,7 @@ def frozen(rows: DataFrame, key: str, payload: list[str]) -> DataFrame:
 
 def matrix_findings(rows: DataFrame, visible: DataFrame, prior_arms: list[str], replay_arm: str) -> DataFrame:
     """Prior-only arms must cite nothing; replay citations must be visible in the event's packet."""
-    x = rows.join(F.broadcast(visible), "event_id", "left").withColumn("visible_ids", F.coalesce("visible_ids", F.array().cast("array<string>")))
+    x = rows.join(visible, "event_id", "left").withColumn("visible_ids", F.coalesce("visible_ids", F.array().cast("array<string>")))
     prior = F.col("treatment").isin(prior_arms) & (F.size("evidence_used") > 0)
     unseen = (F.col("treatment") == replay_arm) & (F.size(F.array_except("evidence_used", "visible_ids")) > 0)
     code = F.when(prior, "citation_in_prior_arm").when(unseen, "citation_not_visible")

@@ -37,7 +37,7 @@ def with_quality(rows: DataFrame) -> DataFrame:
 def with_categories(rows: DataFrame, index: DataFrame) -> DataFrame:
     """Categories of the cited sources and the mapped share of distinct citations (null if none is cited)."""
     cited = rows.select("row_number", F.explode(F.array_distinct("evidence")).alias("source_id"))
-    found = cited.join(F.broadcast(index), "source_id", "left").groupBy("row_number").agg(F.sort_array(F.collect_set("category")).alias("categories"), F.count_distinct("source_id").alias("cited"), F.count_distinct(F.when(F.col("category").isNotNull(), F.col("source_id"))).alias("mapped"))
+    found = cited.join(index, "source_id", "left").groupBy("row_number").agg(F.sort_array(F.collect_set("category")).alias("categories"), F.count_distinct("source_id").alias("cited"), F.count_distinct(F.when(F.col("category").isNotNull(), F.col("source_id"))).alias("mapped"))
     return rows.join(found.withColumn("coverage", F.col("mapped") / F.col("cited")), "row_number", "left")
 
 

@@ -42,7 +42,7 @@ def diverse(filings: DataFrame, n: int) -> DataFrame:
     """At most ceil(n / issuers) filings of one issuer, filled up from the rest in order."""
     order = [F.desc("accepted_at"), F.asc("accession")]
     issuers = filings.groupBy("cap_group").agg(F.count_distinct("issuer").alias("_i"))
-    return _spread(filings.join(F.broadcast(issuers), "cap_group"), "cap_group", [F.col("issuer")], order, n, lambda part, w: F.greatest(F.lit(1), F.ceil(F.lit(float(n)) / F.col("_i")))).drop("_i")
+    return _spread(filings.join(issuers, "cap_group"), "cap_group", [F.col("issuer")], order, n, lambda part, w: F.greatest(F.lit(1), F.ceil(F.lit(float(n)) / F.col("_i")))).drop("_i")
 
 
 def time_balanced(filings: DataFrame, n: int) -> DataFrame:
@@ -50,7 +50,7 @@ def time_balanced(filings: DataFrame, n: int) -> DataFrame:
     order = [F.desc("accepted_at"), F.asc("accession")]
     x = filings.withColumn("year", F.year("accepted_at"))
     years = x.groupBy("cap_group").agg(F.count_distinct("year").alias("_y"))
-    return _spread(x.join(F.broadcast(years), "cap_group"), "cap_group", [F.col("year")], order, n, lambda part, w: F.floor(F.lit(float(n)) / F.col("_y"))).drop("_y")
+    return _spread(x.join(years, "cap_group"), "cap_group", [F.col("year")], order, n, lambda part, w: F.floor(F.lit(float(n)) / F.col("_y"))).drop("_y")
 
 
 def sector_balanced(filings: DataFrame, n: int) -> DataFrame:
@@ -59,7 +59,7 @@ def sector_balanced(filings: DataFrame, n: int) -> DataFrame:
     s = filings.select("cap_group", "sector").distinct()
     s = s.withColumn("_k", F.row_number().over(Window.partitionBy("cap_group").orderBy("sector"))).withColumn("_s", F.count("*").over(Window.partitionBy("cap_group")))
     quota = lambda part, w: F.floor(F.lit(float(n)) / F.col("_s")) + F.when(F.col("_k") <= F.lit(n) % F.col("_s"), 1).otherwise(0)
-    return _spread(filings.join(F.broadcast(s), ["cap_group", "sector"]), "cap_group", [F.col("sector")], order, n, quota).drop("_k", "_s")
+    return _spread(filings.join(s, ["cap_group", "sector"]), "cap_group", [F.col("sector")], order, n, quota).drop("_k", "_s")
 
 
 def best_join_key(left: DataFrame, right: DataFrame, candidates: list[list[str]]) -> list[str] | None:

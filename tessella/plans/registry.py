@@ -126,12 +126,12 @@ LEFT JOIN (SELECT p.id AS a, q.id AS b, sum(p.c * q.c) AS d FROM tf p JOIN tf q
 def _reasoned(s, d):
     """Decisions with a benchmark text as rationale."""
     n = A.table(s, d, "benchmark").select(F.col("item_id").alias("text_no"), "text")
-    return _dec(s, d).withColumn("text_no", F.col("row_number") % 40).join(F.broadcast(n), "text_no", "left")
+    return _dec(s, d).withColumn("text_no", F.col("row_number") % n.count()).join(n, "text_no", "left")
 
 
 QUERIES["text_cells"] = lambda s, d: cells.text_cells(_reasoned(s, d))
 ORACLE_SQL["text_cells"] = f"""{W}, {_TEXTS}, {_FEATS},
-x AS (SELECT e.row_number, {CELL}, b.item_id AS id, b.text FROM e LEFT JOIN benchmark b ON b.item_id = e.row_number % 40),
+x AS (SELECT e.row_number, {CELL}, b.item_id AS id, b.text FROM e LEFT JOIN benchmark b ON b.item_id = e.row_number % (SELECT count(*) FROM benchmark)),
 p AS (SELECT a.{CELL.replace(', ', ', a.')}, a.row_number AS r1, b.row_number AS r2, a.id AS i, b.id AS j FROM x a JOIN x b ON a.event_id = b.event_id AND a.treatment_family = b.treatment_family AND a.model_family = b.model_family AND a.row_number < b.row_number),
 dt AS (SELECT u.id AS i, v.id AS j, sum(u.c * v.c) AS d FROM tf u JOIN tf v ON u.f = v.f GROUP BY ALL),
 ds AS (SELECT {CELL}, avg(greatest(0.0, 1 - coalesce(dt.d, 0) / (m.n * k.n))) AS d FROM p JOIN nm m ON m.id = p.i JOIN nm k ON k.id = p.j LEFT JOIN dt ON dt.i = p.i AND dt.j = p.j GROUP BY ALL)
@@ -409,7 +409,7 @@ def _visible(s, d):
 
 
 _add("entity_visible", _visible, """SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS sector, CASE c_custkey % 3 WHEN 0 THEN 'For Company A (NYSE: Company A)' ELSE 'For ' || replace(c_name, '#', ' ') || ' Corp (NYSE:CU9)' END || ' CFO met on ' || CASE c_custkey % 3 WHEN 1 THEN 'noon' ELSE 'masked_timestamp' END || ' about masked_accession; see masked_accession.' AS text FROM customer""")
-_add("leaf_blocks", lambda s, d: A.table(s, d, "pages").select("page_id", F.inline(packets.leaf_blocks("html"))).groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.count_distinct("heading").alias("n_headings"), F.sum(F.length("text")).alias("n_chars")))
+_add("leaf_blocks", lambda s, d: packets.leaf_blocks(A.table(s, d, "pages")).groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.count_distinct("heading").alias("n_headings"), F.sum(F.length("text")).alias("n_chars")))
 
 
 def _edits(s, d):

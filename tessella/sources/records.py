@@ -10,7 +10,7 @@ DECISION = T.StructType([T.StructField(n, T.StringType()) for n in ("event_id",
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = DECISION, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of JSON lines with file and line number; blank lines are skipped. Strict: a bad line fails."""
+    """(rows, errors) of JSON lines with file and a number that rises with the line (intake.sniffed counts lines); blank lines are skipped. Strict: a bad line fails."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ordinal")).where("trim(value) <> ''")
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     mode = "FAILFAST" if strict else "PERMISSIVE"

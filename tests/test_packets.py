@@ -55,10 +55,12 @@ def test_citation_repair_at_the_edges(spark):
         assert (r["text"], [tuple(x) for x in r["repairs"]], r["unresolved"], r["ignored"]) == want
 
 
-def test_leaf_blocks():
+def test_leaf_blocks(spark):
     page = "<title>t</title><body><h2>Our Results</h2><div><p>One  <b>two</b></p><p>ONE two</p></div><script>p</script><ul><li>Item &amp;lt;</ul><div>tail<br>more</div><p>Note:</p><p>end</p>"
-    assert [(b["heading"], b["text"]) for b in packets._leaf_blocks(page)] == [("Our Results", "One two"), ("Our Results", "Item <"), ("Our Results", "tail more"), ("Note:", "end")]
-    assert packets._leaf_blocks(None) == packets._leaf_blocks("") == []
+    rows = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<p>QUARTER IN BRIEF</p><p>body</p><p>" + "LONG " * 40 + "</p>")], "page_id int, html string")
+    got = packets.leaf_blocks(rows).orderBy("page_id", "at").collect()
+    assert [(b.heading, b.text) for b in got if b.page_id == 1] == [("Our Results", "One two"), ("Our Results", "Item <"), ("Our Results", "tail more"), ("Note:", "end")]
+    assert [(b.page_id, b.heading) for b in got if b.page_id > 1] == [(4, "QUARTER IN BRIEF")] * 2
 
 
 def test_manifest_reader_is_strict(spark, tmp_path):
