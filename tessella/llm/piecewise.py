@@ -30,7 +30,7 @@ _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Characters of a text that are taken at a time.
 CHUNK = 1 << 16
 #: Characters of the longest remembered stretch, and about the bytes that all tables of a worker may hold.
-SHORT, TABLE_BYTES = 64, 48 << 20
+SHORT, TABLE_BYTES = 64, 256 << 20
 _loaded: dict[str, "PieceModel"] = {}
 
 
@@ -82,8 +82,8 @@ class PieceModel:
         self.agree: dict[str, dict[str, bool]] = {}
         self.agreed = 0
         # by about 120, 500, 200 and 250 bytes for an entry
-        self.most_agreed, self.traces = TABLE_BYTES // 4 // 120, Recent(TABLE_BYTES // 8 // 500)
-        self.known, self.words = Recent(TABLE_BYTES // 4 // 200), Recent(3 * TABLE_BYTES // 8 // 250)
+        self.most_agreed, self.traces = 3 * TABLE_BYTES // 16 // 120, Recent(TABLE_BYTES // 16 // 500)
+        self.known, self.words = Recent(TABLE_BYTES // 4 // 200), Recent(TABLE_BYTES // 2 // 250)
 
     def merged(self, text: str) -> list[str]:
         """Plain merging of a short text: the best pair first, the leftmost of equals."""
