@@ -54,8 +54,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     schema = df.schema
-    until_exit(spark, path)
     df.write.option("compression", "zstd").parquet(path)
+    until_exit(spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._stored_at = path
     return out
@@ -67,7 +67,7 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def until_exit(spark: SparkSession, path: str) -> None:
-    """Have the driver's file system delete a path when the application ends."""
+    """Have the driver's file system delete a path, which must exist, when the application ends."""
     fs, where = _file_system(spark, path)
     fs.deleteOnExit(where)
 

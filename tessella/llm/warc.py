@@ -217,5 +217,7 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write the pages to fresh bundles in the shared folder and read them back; an empty table gives an empty table."""
     folder = fresh_path(pages.sparkSession, "warc")
-    until_exit(pages.sparkSession, folder)
-    return read_bundles(write_bundles(pages, folder, least_bytes), folder)
+    index = write_bundles(pages, folder, least_bytes)
+    if not index.isEmpty():
+        until_exit(pages.sparkSession, folder)
+    return read_bundles(index, folder)
