@@ -534,3 +534,43 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
         assert docs.columns == source.columns
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert out.count() == docs.count() and 0 < docs.select("doc_id").distinct().count() <= source.count()
+
+
+def _shuffled(spark) -> int:
+    """Bytes that all stages of the session wrote to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_embedding_join_moves_no_more_than_the_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.float32(rng.standard_normal((3000, 64)))
+    x[2000:2100] = x[:100] + np.float32(0.2 * rng.standard_normal((100, 64)))
+    x[2100:2400] = x[0] + np.float32(0.15 * rng.standard_normal((300, 64)))  # a large group
+    x[2400:2500] = x[7]
+    rows = [(i, v.tolist(), "a" if i % 10 else "b") for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    e, same = x.astype(float), np.array([r[2] for r in rows])
+    unit = e / np.linalg.norm(e, axis=1)[:, None]
+    linked = (unit @ unit.T >= 0.93) & (same[:, None] == same[None])
+    least = np.arange(len(x))
+    while (least != (low := np.where(linked, least[None], len(x)).min(axis=1))).any():
+        least = low
+    want = {i: (i, int(linked[i].sum()) - 1, int(least[i]), int(least[i]) == i) for i in range(len(x))}
+    before = _shuffled(spark)
+    assert {r.vec_id: tuple(r) for r in embedding_join.embedding_join(table).collect()} == want
+    assert _shuffled(spark) - before < 4 * x.nbytes
+    monkeypatch.setattr(embedding_join, "TILE_VALUES", 400 * 64)  # many tiles of a label
+    assert {r.vec_id: tuple(r) for r in embedding_join.embedding_join(table).collect()} == want
+
+
+def test_embedding_join_of_odd_rows(spark):
+    wide = [1.0 + 2.0**-40, 2.0, 3.0]
+    rows = [(None, [1.0, 2.0, 3.0], "a"), (None, None, "a"), (1, [1.0, 2.0, 3.0], "a"), (2, wide, "a"), (2, wide, "a"), (3, [1.0, 2.0], "a"), (4, [2.0, 4.0], "a"), (5, [], "a"), (6, [1.0, None, 3.0], "a"), (7, [-0.0, 1.0], "b"), (8, [0.0, 1.0], "b"), (9, [1e200, 1e200], "b"), (10, [0.0, 3.0], None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((tuple(r) for r in embedding_join.embedding_join(table).collect()), key=str)
+    want = [(None, 0, None, True)] * 2 + [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True), (10, 0, 10, True)]
+    assert got == sorted(want, key=str)
+    assert embedding_join.embedding_join(table.limit(0)).count() == 0
