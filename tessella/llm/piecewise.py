@@ -29,6 +29,8 @@ SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Characters of a text that are taken at a time.
 CHUNK = 1 << 16
+#: First characters of a stretch whose paths are remembered by themselves.
+HEAD = 5
 #: Characters of the longest remembered stretch, and about the bytes that all tables of a worker may hold.
 SHORT, TABLE_BYTES = 64, 256 << 20
 _loaded: dict[str, "PieceModel"] = {}
@@ -81,8 +83,9 @@ class PieceModel:
         """Empty all tables."""
         self.agree: dict[str, dict[str, bool]] = {}
         self.agreed = 0
-        # by about 120, 500, 200 and 250 bytes for an entry
-        self.most_agreed, self.traces = 3 * TABLE_BYTES // 16 // 120, Recent(TABLE_BYTES // 16 // 500)
+        # by about 120, 500, 500, 200 and 250 bytes for an entry
+        self.most_agreed, self.traces = TABLE_BYTES // 8 // 120, Recent(TABLE_BYTES // 32 // 500)
+        self.heads = Recent(3 * TABLE_BYTES // 32 // 500)
         self.known, self.words = Recent(TABLE_BYTES // 4 // 200), Recent(TABLE_BYTES // 2 // 250)
 
     def merged(self, text: str) -> list[str]:
@@ -126,17 +129,22 @@ class PieceModel:
                 j += 1
 
     def _agree(self, before: str, token: str) -> bool:
-        """neighbours(), remembered by the right token; a text's first token has no neighbour."""
+        """neighbours(), remembered by the left token; a text's first token has no neighbour."""
         if self.agreed >= self.most_agreed:
-            self.agree.clear()
-            self.agreed = 0
+            self.agree, self.agreed = {}, 0
         self.agreed += 1
-        ok = self.agree.setdefault(token, {})[before] = not before or self.neighbours(before, token)
+        ok = self._after(before)[token] = not before or self.neighbours(before, token)
         return ok
 
-    def _ids(self, token: str) -> list[int]:
-        i = self.ident.get(token)
-        return [i] if i is not None else [self.byte[b] for b in token.encode("utf-8", "surrogatepass")]
+    def _after(self, token: str) -> dict[str, bool]:
+        """What is remembered of the tokens to the right of one."""
+        row = self.agree.get(token)
+        if row is None:
+            if self.agreed >= self.most_agreed:
+                self.agree, self.agreed = {}, 0
+            self.agreed += 1
+            row = self.agree[token] = {}
+        return row
 
     def stream(self, chunks):
         """Ids of a normalised text that arrives in chunks, as soon as every surviving path agrees on them.
@@ -160,28 +168,45 @@ class PieceModel:
 
     def _fill(self, text: str, last: list[str], end: int) -> None:
         """Last tokens of the prefixes up to ``end``."""
-        ident, rows, none = self.ident, self.agree.get, {}
+        ident, known, after = self.ident, self.agree.get, self._after
+        rows = [known(t) or after(t) for t in last]
         for i in range(len(last), end + 1):
             k = i - 1
-            while True:
-                token = text[k:i]
-                if token in ident or k == i - 1:
-                    before = last[k]
-                    ok = rows(token, none).get(before)
-                    if ok is None:
-                        ok = self._agree(before, token)
-                    if ok:
-                        last.append(token)
-                        break
+            token = text[k:i]
+            ok = rows[k].get(token)
+            if ok is None:
+                ok = self._agree(last[k], token)
+            while not ok:
                 k -= 1
+                token = text[k:i]
+                ok = rows[k].get(token)
+                if ok is None and token in ident:
+                    ok = self._agree(last[k], token)
+            last.append(token)
+            rows.append(known(token) or after(token))
+
+    def _head(self, s: str) -> list[str]:
+        """Last tokens of the prefixes of a stretch's first characters, which many stretches share."""
+        got = self.heads.get(s)
+        if got is None:
+            got = [""]
+            self._fill(s, got, len(s))
+            self.heads.put(s, tuple(got))
+        return list(got)
 
     def _path(self, last: list[str], end: int) -> list[int]:
         """Ids along the backpointers from a place."""
-        out = []
+        tokens, out, ident = [], [], self.ident
         while end:
-            out.append(last[end])
+            tokens.append(last[end])
             end -= len(last[end])
-        return [x for t in reversed(out) for x in self._ids(t)]
+        for t in reversed(tokens):
+            i = ident.get(t)
+            if i is None:
+                out += [self.byte[b] for b in t.encode("utf-8", "surrogatepass")]
+            else:
+                out.append(i)
+        return out
 
     def _meeting(self, last: list[str], n: int):
         """The last boundary that the paths from all of the window's ends share, and the ids up to it."""
@@ -197,7 +222,12 @@ class PieceModel:
         """Ids of a stretch between two boundaries that nothing crosses, as int32."""
         got = self.known.get(s)
         if got is None:
-            got = array("i", self.stream([s])).tobytes()
+            if len(s) <= self.longest:  # ends within the first window
+                last = self._head(s[:HEAD]) if len(s) > HEAD else [""]
+                self._fill(s, last, len(s))
+                got = array("i", self._path(last, len(s))).tobytes()
+            else:
+                got = array("i", self.stream([s])).tobytes()
             if len(s) <= SHORT:
                 self.known.put(s, got)
         return got

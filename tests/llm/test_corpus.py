@@ -574,3 +574,24 @@ def test_embedding_join_of_odd_rows(spark):
     want = [(None, 0, None, True)] * 2 + [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True), (10, 0, 10, True)]
     assert got == sorted(want, key=str)
     assert embedding_join.embedding_join(table.limit(0)).count() == 0
+
+
+def test_pieces_pass_shared_beginnings_once(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    m, rng, passed = piecewise.PieceModel(PIECES), random.Random(12), []
+    fill = m._fill
+    monkeypatch.setattr(m, "_fill", lambda text, last, end: (passed.append(end + 1 - len(last)), fill(text, last, end)))
+    words = ["leoum" + "".join(rng.choice("aeiourlmnt") for _ in range(4)) for _ in range(200)]
+    text = " ".join(words)
+    ids, ok = m.encode(text)
+    assert ids.tolist() == sp.encode(text) and ok
+    assert sum(passed) < 6 * len(words)  # not the ten characters of every word
+    m.forget()
+    m.most_agreed = 20  # a table that is always full
+    texts = [" ".join("".join(rng.choice("leoumentaué,.\n#") for _ in range(rng.randrange(1, 60))) for _ in range(60)) for _ in range(5)]
+    for t in texts:
+        ids, ok = m.encode(t)
+        assert ids.tolist() == sp.encode(t) and ok
+        assert m.agreed <= 21
